@@ -214,6 +214,12 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     return out, out_bounds
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The same rows under names that cannot clash with an operator's own."""
+    names = tuple(f"_c{i}" for i in range(len(df.columns)))
+    return df.toDF(*names), names
+
+
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorewell.llm.decontaminate import op7_decontaminate
 from lorewell.llm.language import op5_language
 from lorewell.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_language": op5_language,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 #: Learnt, sketched or searched results have no SQL form; tests/llm holds them against brute force.

@@ -120,18 +120,18 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
     return ToxicityModel(np.frombuffer(got[0].idx, np.int32), np.frombuffer(got[0].w, np.float32), got[0].b, p.bits)
 
 
-def score(documents: DataFrame, model: ToxicityModel, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+def score(documents: DataFrame, model: ToxicityModel, columns: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`columns` of documents and the score (0 to 1) of each whole text, in one pass."""
-    inputs = documents.select(*columns) if "text" in columns else documents.select(*columns, "text")
-    schema = documents.select(*columns).schema.add(name, "double")
+    inputs = documents.select(*columns) if text in columns else documents.select(*columns, text)
+    schema = documents.select(*columns).schema.add("score", "double")
     spread = documents.sparkSession.sparkContext.broadcast((model.index, model.weight, model.intercept, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, weight, intercept, bits = spread.value
         dense = np.zeros(1 << bits, np.float32)
         dense[index] = weight
-        for part in common.slices(batches):
-            h, _, _, bounds = common.words(*common.text_arrays(part.column("text")))
+        for part in common.slices(batches, text):
+            h, _, _, bounds = common.words(*common.text_arrays(part.column(text)))
             total = np.full(part.num_rows, intercept)
             hits = []
             for own, f in _features(h, bounds, bits):
@@ -140,11 +140,18 @@ def score(documents: DataFrame, model: ToxicityModel, columns: tuple[str, ...] =
             both = np.unique(np.concatenate(hits))
             np.add.at(total, both >> bits, dense[both & ((1 << bits) - 1)])
             out = 1 / (1 + np.exp(-np.clip(total, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out)], [*columns, name])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out)], [*columns, "score"])
 
     return inputs.mapInArrow(run, schema)
 
 
+def remove_toxic(documents: DataFrame, model: ToxicityModel, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    plain, names = common.renamed(documents)
+    scored = score(plain, model, names, names[documents.columns.index("text")])
+    return scored.where(F.col("score") < params.threshold).select(*names).toDF(*documents.columns)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """Scores all documents; rows with crc32(doc_id) mod 4 = 2 are held out of learning."""
     documents = common.read_table(spark, sf_dir, "documents")
