@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
-def write_shared(df: DataFrame) -> DataFrame:
+def write_shared(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     Smaller on disk than a checkpoint, as Parquet is compressed. The folder
@@ -57,7 +57,7 @@ def write_shared(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
