@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from lorewell.llm.decontaminate import op7_decontaminate
 from lorewell.llm.language import op5_language
 from lorewell.llm.language_model import op9_lm_score
+from lorewell.llm.pii import op10_pii
+from lorewell.llm.quality import op8_quality
 from lorewell.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_language": op5_language,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality": op8_quality,
     "op9_lm_score": op9_lm_score,
+    "op10_pii": op10_pii,
 }
 
 #: Learnt, sketched or searched results have no SQL form; tests/llm holds them against brute force.
