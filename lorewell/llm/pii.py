@@ -92,16 +92,22 @@ def _spans(k: Kind, p: PiiParams) -> Column:
     Lengths add up over runs of 256 matches, so that many matches in one text
     cost no square of their number.
     """
-    pieces, matches = f"_p_{k.name}", f"_m_{k.name}"
-    near = f"CASE WHEN concat(right({pieces}[i], {p.context}), ' ', left({pieces}[i + 1], {p.context})) RLIKE '(?i){k.words.replace(chr(92), chr(92) * 2)}' THEN {p.boost}D ELSE 0D END"
-    step = f"""struct(s.at + length({pieces}[i]) + length({matches}[i]) AS at, concat(s.out, array(struct(
-        s.at + length({pieces}[i]) AS start, s.at + length({pieces}[i]) + length({matches}[i]) AS end, {matches}[i] AS value,
-        CASE WHEN transform(array({matches}[i]), m -> {k.check})[0] THEN least(1D, {k.score}D + {near}) ELSE -1D END AS score))) AS out)"""
-    run = f"aggregate(sequence(c * 256, least(size({matches}), (c + 1) * 256) - 1), struct(t.at AS at, CAST(array() AS array<{_SPAN}>) AS out), (s, i) -> {step})"
-    every = f"""aggregate(sequence(0, (size({matches}) - 1) div 256), struct(0L AS at, CAST(array() AS array<array<{_SPAN}>>) AS runs),
+    step = f"""struct(s.at + length(z.p[i]) + length(z.m[i]) AS at, concat(s.out, array(struct(
+        s.at + length(z.p[i]) AS start, s.at + length(z.p[i]) + length(z.m[i]) AS end, z.m[i] AS value,
+        CASE WHEN transform(array(z.m[i]), m -> {k.check})[0] THEN {_score(k, p)} ELSE -1D END AS score))) AS out)"""
+    run = f"aggregate(sequence(c * 256, least(size(z.m), (c + 1) * 256) - 1), struct(t.at AS at, CAST(array() AS array<{_SPAN}>) AS out), (s, i) -> {step})"
+    every = f"""aggregate(sequence(0, (size(z.m) - 1) div 256), struct(0L AS at, CAST(array() AS array<array<{_SPAN}>>) AS runs),
         (t, c) -> transform(array({run}), r -> struct(r.at AS at, concat(t.runs, array(r.out)) AS runs))[0], t -> flatten(t.runs))"""
     least = 0.0 if k.base else p.threshold
-    return F.expr(f"CASE WHEN size({matches}) > 0 THEN filter({every}, x -> x.score >= {least}D) ELSE CAST(array() AS array<{_SPAN}>) END")
+    found = f"CASE WHEN size(z.m) > 0 THEN filter({every}, x -> x.score >= {least}D) ELSE CAST(array() AS array<{_SPAN}>) END"
+    # z holds the pieces and matches: computed once, wherever the optimiser moves the expression
+    return F.expr(f"transform(array(struct(_p_{k.name} AS p, _m_{k.name} AS m)), z -> {found})[0]")
+
+
+def _score(k: Kind, p: PiiParams) -> str:
+    """SQL for the score of match i of z: its kind's, and more if a fitting word is near."""
+    near = f"concat(right(z.p[i], {p.context}), ' ', left(z.p[i + 1], {p.context})) RLIKE '(?i){k.words.replace(chr(92), chr(92) * 2)}'"
+    return f"least(1D, {k.score}D + CASE WHEN {near} THEN {p.boost}D ELSE 0D END)"
 
 
 def find_pii(documents: DataFrame, params: PiiParams = PiiParams(), text: str = "text") -> DataFrame:
@@ -127,10 +133,9 @@ def redact(documents: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     for k in sorted(KINDS, key=lambda k: ("email", "tel", "phone", "pan", "card", "iban", "ip", "key", "ssn").index(k.name)):
         pieces, matches = _cut(k, F.col(body))
         cut = plain.select(*names, pieces.alias(f"_p_{k.name}"), matches.alias(f"_m_{k.name}"))
-        near = f"concat(right(_p_{k.name}[i], {params.context}), ' ', left(_p_{k.name}[i + 1], {params.context})) RLIKE '(?i){k.words.replace(chr(92), chr(92) * 2)}'"
-        sure = "true" if k.base or k.score >= params.threshold else f"({k.score}D + CASE WHEN {near} THEN {params.boost}D ELSE 0D END >= {params.threshold}D)"
-        new = F.expr(f"""CASE WHEN size(_m_{k.name}) > 0 THEN concat(array_join(transform(_m_{k.name}, (m, i) ->
-            concat(_p_{k.name}[i], CASE WHEN {k.check} AND {sure} THEN '[{(k.completes or k.name).upper()}]' ELSE m END)), ''), element_at(_p_{k.name}, -1)) ELSE {body} END""")
+        sure = "true" if k.base else f"{_score(k, params)} >= {params.threshold}D"
+        new = F.expr(f"""CASE WHEN size(_m_{k.name}) > 0 THEN transform(array(struct(_p_{k.name} AS p, _m_{k.name} AS m)), z -> concat(array_join(transform(z.m, (m, i) ->
+            concat(z.p[i], CASE WHEN {k.check} AND {sure} THEN '[{(k.completes or k.name).upper()}]' ELSE m END)), ''), element_at(z.p, -1)))[0] ELSE {body} END""")
         plain = cut.select(*(new.alias(c) if c == body else F.col(c) for c in names))
     if "n_chars" in documents.columns:
         count = names[documents.columns.index("n_chars")]

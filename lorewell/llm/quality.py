@@ -75,6 +75,7 @@ def statistics(documents: DataFrame, *keep: str) -> DataFrame:
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
     without = lambda pattern: (F.length("_text") - F.length(F.regexp_replace("_text", pattern, ""))).cast("long")
+    windows = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))
     two = one.select(
         *keep,
         F.size("_words").cast("long").alias("n_words"),
@@ -83,21 +84,10 @@ def statistics(documents: DataFrame, *keep: str) -> DataFrame:
         F.size("_lines").alias("_n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         without(r"\p{Lu}").alias("_upper"), without(r"[!?|]").alias("_marks"), without("[0-9]").alias("_digits"),
-        F.when(F.size("_words") >= 5, F.transform(F.sequence(F.lit(1), F.size("_words") - 4), lambda i: F.xxhash64(F.slice("_words", i, 5))))
-        .otherwise(F.array().cast("array<bigint>")).alias("_windows"),
+        F.when(F.size("_words") >= 5, common.let(common.let(F.col("_words"), windows), _repeated)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    three = two.withColumn(
-        "_sorted",
-        F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))),
-    )
-    again = F.expr("""
-        array_sort(transform(filter(
-            transform(_sorted, (x, i) -> struct(x.p AS p, coalesce(get(_sorted, i - 1).h = x.h, false) OR coalesce(get(_sorted, i + 1).h = x.h, false) AS again)),
-            x -> x.again), x -> x.p))""")
-    covered = F.expr("aggregate(_again, struct(-5 AS last, 0L AS n), (s, p) -> struct(p AS last, s.n + least(5, p - s.last) AS n), s -> s.n)")
-    four = three.withColumn("_again", F.when(F.col("_sorted").isNotNull(), again)).withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return four.select(
+    return two.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / words).alias("mean_word"), (F.col("n_symbols") / words).alias("symbols_a_word"),
         (F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1))).alias("dup_line_share"), (F.col("n_repeat_words") / words).alias("repeat_share"),
@@ -105,6 +95,20 @@ def statistics(documents: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def _repeated(windows: Column) -> Column:
+    """Words that lie in a 5-word window which is in the text twice or more, from the windows' hashes."""
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+
+    def starts(ordered: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(ordered, j)["h"] == x["h"], F.lit(False))
+        marked = F.transform(ordered, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["p"]))
+        return F.array_sort(F.array_compact(marked))
+
+    first = F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n"))
+    covered = F.aggregate(common.let(pairs, starts), first, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(5), p - s["last"])).alias("n")), lambda s: s["n"])
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
@@ -178,9 +182,9 @@ def fit(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParam
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_train_docs).select(F.col("doc_id").alias("k"), "quality")
     )
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k"))
-    found = statistics(rows, "k", "quality").where(~base_failed()).select("k", "quality", *FEATURES).collect()
+    found = [r for r in statistics(rows, "k", "quality").select("k", "quality", base_failed(), *FEATURES).collect() if not r[2]]
     found.sort(key=lambda r: (r.k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, *r[1:]))
-    x = np.array([r[2:] for r in found], float).reshape(-1, len(FEATURES))
+    x = np.array([r[3:] for r in found], float).reshape(-1, len(FEATURES))
     return learn(x, np.array([r.quality == 0 for r in found], bool), p)
 
 
