@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorewell.llm.decontaminate import op7_decontaminate
+from lorewell.llm.jaccard import op3_jaccard
 from lorewell.llm.language import op5_language
 from lorewell.llm.language_model import op9_lm_score
 from lorewell.llm.pii import op10_pii
@@ -15,6 +16,7 @@ from lorewell.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_jaccard": op3_jaccard,
     "op5_language": op5_language,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
