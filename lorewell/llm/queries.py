@@ -10,14 +10,18 @@ from lorewell.llm.decontaminate import op7_decontaminate
 from lorewell.llm.jaccard import op3_jaccard
 from lorewell.llm.language import op5_language
 from lorewell.llm.language_model import op9_lm_score
+from lorewell.llm.licenses import op6_licenses
+from lorewell.llm.mixing import op1_mixing
 from lorewell.llm.pii import op10_pii
 from lorewell.llm.quality import op8_quality
 from lorewell.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_jaccard": op3_jaccard,
     "op5_language": op5_language,
+    "op6_licenses": op6_licenses,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_lm_score": op9_lm_score,
