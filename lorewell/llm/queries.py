@@ -14,12 +14,14 @@ from lorewell.llm.licenses import op6_licenses
 from lorewell.llm.mixing import op1_mixing
 from lorewell.llm.pii import op10_pii
 from lorewell.llm.quality import op8_quality
+from lorewell.llm.substrings import op4_substrings
 from lorewell.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_jaccard": op3_jaccard,
+    "op4_substrings": op4_substrings,
     "op5_language": op5_language,
     "op6_licenses": op6_licenses,
     "op7_decontaminate": op7_decontaminate,
