@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,22 @@ def write_shared(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keeps a table that is read more than once on the executors' disks; what a lost executor had is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """The table, kept, and marked for broadcast if it is counted and within the limit."""
+    kept = held(df)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
+def files_for(rows: int) -> int:
+    """Partitions of a table of so many short rows."""
+    return max(8, rows // 50_000)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

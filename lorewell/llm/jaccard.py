@@ -65,11 +65,6 @@ def bands_and_rows(p: JaccardParams) -> tuple[int, int]:
     return best
 
 
-def small(df: DataFrame, limit: int) -> DataFrame:
-    """The table marked for broadcast if it is counted and within the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _key() -> Column:
     """Identifies a row's content."""
     return F.xxhash64("doc_id", "text")
@@ -106,6 +101,7 @@ def representatives(signed: DataFrame) -> DataFrame:
     """One row for each distinct shingle set: the first row that has it and how many have it."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     found = signed.where("sid IS NOT NULL").groupBy("sid").agg(first, F.count("*").alias("weight"), F.any_value("bands").alias("bands"))
+    found = found.coalesce(common.files_for(signed.count()))
     return common.write_shared(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "bands"))
 
 
@@ -115,7 +111,7 @@ def memberships(reps: DataFrame, p: JaccardParams) -> DataFrame:
     print_of = F.sum(F.xxhash64("sid").cast("decimal(20,0)"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sid").alias("least"), print_of.alias("print")).where("n > 1")
     chosen = shared.groupBy("n", "least", "print").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    member = common.write_shared(rows.join(small(common.write_shared(chosen), p.broadcast_rows), "bucket"))
+    member = common.held(rows.join(common.small(chosen, p.broadcast_rows), "bucket"))
     lists = member.groupBy("sid").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # at most one for each band
     blocks = F.ceil(F.col("n") / p.block).cast("int")
     dealt = member.withColumn("part", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -182,8 +178,8 @@ def verify(bucket: int, i: int, j: int, part: np.ndarray, sets: list[np.ndarray]
 
 def link(documents: DataFrame, reps: DataFrame, p: JaccardParams) -> DataFrame:
     """(sid, links, root): for each member of a task its links there and the set it is connected with."""
-    member = common.write_shared(memberships(reps, p))
-    wanted = small(common.write_shared(member.select("key").distinct()), p.broadcast_rows)
+    member = common.held(memberships(reps, p))
+    wanted = common.small(member.select("key").distinct(), p.broadcast_rows)
     texts = documents.select(_key().alias("key"), "text").join(wanted, "key").groupBy("key").agg(F.any_value("text").alias("text"))
     tasks = member.join(texts, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "sid")
 
@@ -228,7 +224,7 @@ def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFr
     """doc_id, key, first (is this row's content the class's first), class_id, n_links for every document."""
     signed = sign(documents, p)
     reps = representatives(signed)
-    linked = common.write_shared(link(documents, reps, p))
+    linked = common.held(link(documents, reps, p))
     links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
     root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("sid"), "root")
     plain = reps.drop("bands").join(links, "sid", "left").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -244,9 +240,9 @@ def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFr
 
 def deduplicate(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; all columns."""
-    found = common.write_shared(classify(documents, p).select("key", "first", "n_links"))
-    gone = small(common.write_shared(found.where("NOT first").select(F.col("key").alias("_gone")).distinct()), p.broadcast_rows)
-    again = small(common.write_shared(found.where("first AND n_links > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("_again"))), p.broadcast_rows)
+    found = common.held(classify(documents, p).select("key", "first", "n_links"))
+    gone = common.small(found.where("NOT first").select(F.col("key").alias("_gone")).distinct(), p.broadcast_rows)
+    again = common.small(found.where("first AND n_links > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("_again")), p.broadcast_rows)
     plain, names = common.renamed(documents)
     at = {c: n for n, c in zip(names, documents.columns)}
     keyed = plain.withColumn("_key", F.xxhash64(at["doc_id"], at["text"])).join(gone, F.col("_key") == F.col("_gone"), "left_anti")

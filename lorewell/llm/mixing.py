@@ -128,22 +128,18 @@ def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[s
     repeats = F.col("_take") / F.col("_tokens")
     key = ((F.col("_epoch") + F.col("_order") / _RANGE) / F.greatest(repeats, F.lit(1e-9))).alias("_mix")
     taken = epochs.where(~last).withColumn("_room", F.col("_has").cast("double")).select("_source", "_block", "_epoch", "_room", "_has", key)
-    taken = common.write_shared(taken.union(partial.where("_room > 0").select("_source", "_block", "_epoch", "_room", "_has", key)))
-    full = common.write_shared(taken.where("_room >= _has").drop("_room", "_has"))
-    cut = common.write_shared(taken.where("_room < _has").drop("_has"))  # at most one block of each source
+    taken = common.held(taken.union(partial.where("_room > 0").select("_source", "_block", "_epoch", "_room", "_has", key)))
+    full = common.small(taken.where("_room >= _has").drop("_room", "_has"), p.broadcast_rows)
+    cut = common.small(taken.where("_room < _has").drop("_has"), p.broadcast_rows)  # at most one block of each source
 
     wanted = [*(at[c] for c in columns), "_epoch", "_block", "_size", "_mix"]
     rows = placed(slim if "text" not in columns else dealt)
-    every = rows.join(_small(full, p), ["_source", "_block"]).select(*wanted)
+    every = rows.join(full, ["_source", "_block"]).select(*wanted)
     spent = Window.partitionBy("_source", "_block").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
-    rest = rows.join(_small(cut, p), ["_source", "_block"]).withColumn("_spent", F.coalesce(F.sum("_size").over(spent), F.lit(0))).where("_spent < _room").select(*wanted)
+    rest = rows.join(cut, ["_source", "_block"]).withColumn("_spent", F.coalesce(F.sum("_size").over(spent), F.lit(0))).where("_spent < _room").select(*wanted)
     return every.union(rest).toDF(*columns, "epoch", "block", "tokens", "mix_key")
 
 
-def _small(df: DataFrame, p: MixingParams) -> DataFrame:
-    return F.broadcast(df) if df.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else df
-
-
 def op1_mixing(spark: SparkSession, sf_dir: str, params: MixingParams = MixingParams()) -> DataFrame:
     """The mixture of all documents: a row for each time that a document is in it."""
     return mix(common.read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), params, ("doc_id", "source"))
