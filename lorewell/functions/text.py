@@ -63,7 +63,7 @@ def looks_garbled(text: Column, path: Column) -> Column:
 
     def judge(x: Column) -> Column:
         total, han = F.length(x), count(x, r"[^\p{IsHan}]")
-        lower, control, private = count(x, r"[^a-z]"), count(x, r"[^\x00-\x1F]"), count(x, r"[^-]")
+        lower, control, private = count(x, r"[^a-z]"), count(x, r"[^\x00-\x1F]"), count(x, r"[^\uE000-\uF8FF]")
         strange = count(x, r"[\x00-\x7F\p{IsHan}]")
         unmapped = path.rlike(r"\p{IsHan}") & (han * 50 < total) & (total > 80) & (lower * 10 < total) & (strange * 8 > total)
         return (total == 0) | (control * 20 > total) | (private * 5 > total) | unmapped
@@ -73,7 +73,7 @@ def looks_garbled(text: Column, path: Column) -> Column:
 
 def infer_page(c: Column) -> Column:
     """The first page marker's number; 0 if there is none or it is no positive number."""
-    n = F.try_cast(F.regexp_extract(c, r"##\s*第\s*([0-9]+)\s*页", 1), "bigint") if hasattr(F, "try_cast") else F.regexp_extract(c, r"##\s*第\s*([0-9]+)\s*页", 1).try_cast("bigint")
+    n = F.regexp_extract(c, r"##\s*第\s*([0-9]+)\s*页", 1).try_cast("bigint")
     return F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("bigint")
 
 
