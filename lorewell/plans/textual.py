@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorewell.functions import citation, text
+from lorewell.functions import citation, rules, text
 from lorewell.functions.expansion import parse_expansion
 from lorewell.functions.html import html_text
 from lorewell.plans.registry import query
@@ -178,3 +178,28 @@ inline(
 @query("html_extract")
 def html_extract(t):
     return t("pages").select("page_id", html_text(c("html")).alias("text"))
+
+
+def _limits(d):
+    names = rules.LIMITS
+    return d.select("id", rules.limit_update_reason(c("code"), {n: c(n) for n in names}, 50).alias("reason"), rules.vote(c("v")).alias("vote"), rules.score(c("max_turns")).alias("score"))
+
+
+inline(
+    "limit_update", "id long, code string, max_files int, max_file_size_mb int, max_sessions int, max_turns int, max_voice_inputs int, max_tts int, v string",
+    [(1, "t", 1, 1, 1, 1, 1, 1, "up"), (2, " ", 1, 1, 1, 1, 1, 1, "DOWN "), (3, "t", 0, 0, 1, 1, 1, 1, "x"), (4, "t", 1, 60, 1, 9, 1, 1, ""), (5, "t", 1, 60, 1, 1, 1, 0, "")],
+    "id long, reason string, vote string, score int", [(1, None, "up", 1), (2, "code", "down", 1), (3, "max_files", None, 1), (4, "above system limit", "", None), (5, "max_tts", "", 1)], _limits,
+)
+inline(
+    "allowed_audio", "id long, name string, ct string", [(1, "a.MP3", ""), (2, "a.txt", "audio/x"), (3, "a.txt", "video/webm"), (4, "a.txt", ""), (5, "noext", " APPLICATION/OGG ")], "id long, ok boolean", [(1, True), (2, True), (3, True), (4, False), (5, True)],
+    lambda d: d.select("id", rules.allowed_audio(c("name"), c("ct")).alias("ok")),
+)
+inline(
+    "error_status", "id long, msg string, forbidden boolean", [(1, "x", True), (2, "文档不存在", False), (3, "文档正在索引", False), (4, "缺少 id", False), (5, "boom", False)], "id long, status int", [(1, 403), (2, 404), (3, 409), (4, 400), (5, 500)],
+    lambda d: d.select("id", rules.error_status(c("msg"), c("forbidden")).alias("status")),
+)
+inline(
+    "note_payload", "id long, raw string", [(1, '{"query": " q "}'), (2, '{"data": {"sheets": []}}'), (3, '{"type": "JSONv0"}'), (4, "junk"), (5, "")], "id long, query string, is_table boolean, first string",
+    [(1, "q", False, '{"query": " q "}'), (2, "", True, '{"data": {"sheets": []}}'), (3, "", True, '{"type": "JSONv0"}'), (4, "", False, "junk"), (5, "", False, "none")],
+    lambda d: d.select("id", rules.tool_query(c("raw")).alias("query"), rules.looks_like_table(c("raw")).alias("is_table"), rules.first_non_empty(c("raw"), F.lit("none")).alias("first")),
+)
