@@ -50,15 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
-def write_shared(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Writes a table to the shared folder and reads it back.
+def write_shared(df: DataFrame, compression: str = "snappy", rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back, in files fit for about `rows` short rows if that is given.
 
     Smaller on disk than a checkpoint, as Parquet is compressed. The folder
     goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,7 +76,7 @@ def small(df: DataFrame, limit: int) -> DataFrame:
 
 def files_for(rows: int) -> int:
     """Partitions of a table of so many short rows."""
-    return max(8, rows // 50_000)
+    return max(3, rows // 100_000)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -242,7 +242,12 @@ def renamed(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     return df.toDF(*names), names
 
 
-def require(df: DataFrame, *columns: str) -> None:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+def free_names(wanted: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """The wanted names, with underscores added where one is taken."""
+    used, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

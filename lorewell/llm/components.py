@@ -22,17 +22,18 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (u, v); a root is its component's smallest node."""
-    start = held(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(start)
-    now = cut_lineage(start.coalesce(files_for(state[0])))
-    for _ in range(max_rounds):
+    now = held(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = _state(now)
+    for turn in range(1, max_rounds + 1):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         # the number of edges hardly changes: it says how many partitions the next ones need
-        now = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files_for(state[0])))
+        now = small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files_for(state[0]))
+        # lineage is cut every other round, so a graph that settles at once needs one small file set
+        now = cut_lineage(now) if turn % 2 else held(now)
         before, state = state, _state(now)
         if state == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -94,15 +94,14 @@ def sign(documents: DataFrame, p: JaccardParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array(digest, pa.binary()), pa.array(size), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "sid", "size", "bands"])
 
     rows_in = documents.select("doc_id", _key().alias("key"), "text")
-    return common.write_shared(rows_in.mapInArrow(run, "doc_id long, key long, sid binary, size long, bands array<long>"))
+    return common.held(rows_in.mapInArrow(run, "doc_id long, key long, sid binary, size long, bands array<long>"))
 
 
 def representatives(signed: DataFrame) -> DataFrame:
     """One row for each distinct shingle set: the first row that has it and how many have it."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     found = signed.where("sid IS NOT NULL").groupBy("sid").agg(first, F.count("*").alias("weight"), F.any_value("bands").alias("bands"))
-    found = found.coalesce(common.files_for(signed.count()))
-    return common.write_shared(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "bands"))
+    return common.write_shared(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "bands"), rows=signed.count())
 
 
 def memberships(reps: DataFrame, p: JaccardParams) -> DataFrame:
@@ -224,7 +223,7 @@ def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFr
     """doc_id, key, first (is this row's content the class's first), class_id, n_links for every document."""
     signed = sign(documents, p)
     reps = representatives(signed)
-    linked = common.held(link(documents, reps, p))
+    linked = common.write_shared(link(documents, reps, p), rows=reps.count())
     links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
     root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("sid"), "root")
     plain = reps.drop("bands").join(links, "sid", "left").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -240,7 +239,7 @@ def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFr
 
 def deduplicate(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; all columns."""
-    found = common.held(classify(documents, p).select("key", "first", "n_links"))
+    found = common.write_shared(classify(documents, p).select("key", "first", "n_links"), rows=documents.count())
     gone = common.small(found.where("NOT first").select(F.col("key").alias("_gone")).distinct(), p.broadcast_rows)
     again = common.small(found.where("first AND n_links > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("_again")), p.broadcast_rows)
     plain, names = common.renamed(documents)
