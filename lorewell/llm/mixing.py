@@ -100,6 +100,7 @@ def _dealt(documents: DataFrame, source: str, doc_id: str, text: str) -> list[Co
 def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[str, ...] | None = None) -> DataFrame:
     """`columns` (all), epoch, block, tokens and mix_key of every document for each time that the mixture has it.
 
+    Where a column has one of these names already, ours gets an underscore.
     Sorted by mix_key, any stretch of the mixture has about the target weights.
     """
     columns = columns or tuple(documents.columns)
@@ -107,7 +108,7 @@ def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[s
     at = dict(zip(documents.columns, names))
     spark = documents.sparkSession
     dealt = plain.select("*", *_dealt(plain, at["source"], at["doc_id"], at["text"]))
-    slim = common.write_shared(dealt.select(*(at[c] for c in columns if c != "text"), "_source", "_size", "_hash"))
+    slim = common.held(dealt.select(*(at[c] for c in columns if c != "text"), "_source", "_size", "_hash"))
     sources = plan(slim.select(F.col("_source").alias("source"), F.col("_size").alias("size")), p)
     quota = F.broadcast(spark.createDataFrame(sources, "_source string, _tokens double, _take double, _blocks long"))  # at most max_sources rows
 
@@ -137,7 +138,7 @@ def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[s
     every = rows.join(full, ["_source", "_block"]).select(*wanted)
     spent = Window.partitionBy("_source", "_block").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
     rest = rows.join(cut, ["_source", "_block"]).withColumn("_spent", F.coalesce(F.sum("_size").over(spent), F.lit(0))).where("_spent < _room").select(*wanted)
-    return every.union(rest).toDF(*columns, "epoch", "block", "tokens", "mix_key")
+    return every.union(rest).toDF(*columns, *common.free_names(("epoch", "block", "tokens", "mix_key"), columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str, params: MixingParams = MixingParams()) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lorewell.llm import common, jaccard
+from lorewell.llm import jaccard
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
