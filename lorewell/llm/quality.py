@@ -137,8 +137,10 @@ def _grow(x: np.ndarray, bad: np.ndarray, grid: list[np.ndarray], p: QualityPara
                     best = (float(gain.max()), Condition(feature, above, float(grid[k][gain.argmax()])))
         if best[1] is None:
             break
-        rule.append(best[1])
-        inside &= best[1].holds(x)
+        found, column = best[1], x[inside, FEATURES.index(best[1].feature)]
+        # halfway to the next value seen: rows not seen yet should not turn on the last one
+        rule.append(Condition(found.feature, found.above, (found.threshold + float(column[column > found.threshold].min(initial=np.inf))) / 2 if (column > found.threshold).any() else found.threshold))
+        inside &= rule[-1].holds(x)
     return tuple(rule)
 
 
