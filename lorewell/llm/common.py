@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds a worker's memory.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch; rows beyond it begin the next, and a larger row is a batch of its own.
+BATCH_BYTES = 8 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; also bounds what passes to a Python worker at once, which limits its memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
