@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewell.functions.text import let  # noqa: F401  for the operators
+
 #: Bytes of text that one vectorised step handles; bounds a worker's memory.
 STEP_BYTES = 1 << 20
 #: Bytes of an Arrow batch; rows beyond it begin the next, and a larger row is a batch of its own.
@@ -235,11 +237,6 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int = 5) -> tuple[np.ndarray,
     return out, out_bounds
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once, wherever the optimiser moves the expression."""
-    return F.transform(F.array(value), body)[0]
-
-
 def renamed(df: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     """The same rows under names that cannot clash with an operator's own."""
     names = tuple(f"_c{i}" for i in range(len(df.columns)))

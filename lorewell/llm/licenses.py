@@ -7,9 +7,9 @@ leave here; a window without one can neither share a band nor be contained.
 
 Templates of m shingles are looked for in windows of W shingles, W the power of
 two from 2m on, that begin every W / 2 shingles: whatever stretch of m shingles
-there is lies inside one. Such a window with the share `containment` of the
-template has a Jaccard similarity of at least c / (4 + ...) with it, and the
-number of one-row bands is what finds that with the target recall. A retrieved
+there is lies inside one. W is below 4m, so a window that holds the share c of
+the template has a Jaccard similarity of at least c / (5 - c) with it, and there
+are as many one-row bands as find that with the target recall. A retrieved
 template is reported if the window holds that share of its shingles, counted
 exactly.
 
@@ -63,7 +63,7 @@ class LicenseParams:
     def bands(self) -> int:
         """One-row bands that find the least similar window with the target recall."""
         c = self.containment
-        return math.ceil(math.log(1 - self.recall) / math.log1p(-(c / (4 + 1 - c))))
+        return math.ceil(math.log(1 - self.recall) / math.log1p(-(c / (5 - c))))
 
 
 def _shingles(text: Column, k: int) -> Column:
