@@ -133,13 +133,17 @@ def fit_file_name(c: Column, size: int = 256) -> Column:
     return F.when(F.length(c) <= size, c).when(F.length(ext) >= size, F.left(c, F.lit(size))).otherwise(F.concat(F.left(stem, F.lit(size) - F.length(ext)), ext))
 
 
+#: A fixed value: the stem of a note without a usable name.
+DEFAULT_STEM = "youdao-note"
+
+
 def sanitize_stem(c: Column) -> Column:
     """A file stem without known suffixes and reserved characters; a default name if nothing is left."""
     stem = trim_ws(c)
     for suffix in (r"\.note", r"\.lxtable", r"\.md", r"\.markdown"):
         stem = F.regexp_replace(stem, rf"{suffix}\z", "")
     clean = trim_ws(F.regexp_replace(F.regexp_replace(stem, r'[\x00-\x08\x0E-\x1F/\\:*?"<>|]|[\t\n\x0B\f\r]', "_"), _SPACES, " "))
-    return F.when(clean == "", "youdao-note").otherwise(clean)
+    return F.when(clean == "", DEFAULT_STEM).otherwise(clean)
 
 
 def prepare_speech(c: Column, size: int = 4000) -> Column:
