@@ -7,15 +7,14 @@
    segment, through one shuffle; a segment adds up exact counts over all blocks.
    The number of segments grows with the corpus, so each stays small.
 3. Each segment writes its n-grams into its own slice of the filter: a count c is
-   held as 1 + floor(log2 c) entries (n-gram, 1), (n-gram, 2), and so on. The
-   filter has at most `max_filter_bits` bits whatever the corpus; where the
-   entries would need more, the least frequent bigrams, then unigrams, are left
-   to the smoothing, as with any count cutoff. The slices, and nothing larger,
-   pass the driver, and the filter is broadcast.
-4. Scoring a block probes the filter for its distinct n-grams, (n-gram, 1) first
-   and on while the answer is yes, and interpolates bigram with unigram estimates.
-   The exact unigram counts return to the blocks that asked, aligned with their
-   token lists, for the base score.
+   held as 1 + floor(log2 c) entries (n-gram, 1), (n-gram, 2), and so on. A slice
+   is as large as its entries ask, so every n-gram counted often enough is in at
+   every size of the corpus. The slice stays where it was made: there it is probed
+   for the n-grams of each block that sent some, (n-gram, 1) first and on while the
+   answer is yes, and the levels return to the block, aligned with its n-grams.
+   Nothing of the filter passes the driver.
+4. Scoring a block interpolates bigram with unigram estimates from these levels.
+   The exact unigram counts return in the same way, for the base score.
 
 A token is identified by a 64-bit hash, an n-gram in the filter by at least 40
 bits besides its segment.
@@ -42,14 +41,13 @@ from lorewell.llm import common
 
 _END = 0xC2B2AE3D27D4EB4F  # the hash of the end token
 _LOW = (1 << 40) - 1
-_ORDERS = (1, 2)
 
 
 @dataclass(frozen=True)
 class LanguageModelParams:
     block_bytes: int = 16 << 20
     segment_bytes: int = 4 << 20
-    #: Bound on the filter that is broadcast: 2**28 bits are 32 MB.
+    #: Bits of a slice that a task fills at once; a larger slice is filled and probed in pieces.
     max_filter_bits: int = 1 << 28
     bits_per_entry: int = 12
     probes: int = 4
@@ -126,8 +124,8 @@ def _contexts(token: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
-def count(blocks: DataFrame, segments: int) -> DataFrame:
-    """Exact counts by segment: for each block of a segment its unigrams' counts, and the segment's n-grams with totals."""
+def count(blocks: DataFrame, segments: int, p: LanguageModelParams = LanguageModelParams()) -> DataFrame:
+    """By segment: for each block its unigrams' exact counts and its n-grams' levels in the filter, and the segment's totals."""
     shift = np.uint64(64 - (segments.bit_length() - 1)) if segments > 1 else None
 
     def cut(h: np.ndarray) -> np.ndarray:
@@ -145,7 +143,8 @@ def count(blocks: DataFrame, segments: int) -> DataFrame:
                 order = np.argsort(value)
                 n = np.bincount(number[learn], minlength=len(value)).astype(np.uint32)[order]
                 token = value[number]
-                gram, many = np.unique(_pairs(_contexts(token, lengths), token)[learn], return_counts=True)
+                gram, back = np.unique(_pairs(_contexts(token, lengths), token), return_inverse=True)
+                many = np.bincount(back[learn], minlength=len(gram))
                 for kind, g, c in ((1, value[order], n), (2, gram, many.astype(np.uint32))):
                     at = cut(g)
                     some = np.flatnonzero(np.diff(at))
@@ -172,24 +171,42 @@ def count(blocks: DataFrame, segments: int) -> DataFrame:
             counts.append(n)
         gram, back = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(back, np.concatenate(counts).astype(np.float64)).astype(np.int64)
-        level = _levels(total)
+        level = probed(kind, gram, total, p).astype(np.uint8)
         ends = np.cumsum([len(x) for x in parts])
-        answers = [total[back[e - len(x) : e]].astype(np.int64).tobytes() for x, e in zip(parts, ends)] if kind == 1 else []
-        rows = len(answers)
-        pad = [None] * rows
-        held = np.flatnonzero(total > (0 if kind == 1 else 1))
+        own = [back[e - len(x) : e] for x, e in zip(parts, ends)]
         return pa.table({
-            "kind": pa.array([kind] * (rows + 1), pa.int32()), "segment": pa.array([segment] * (rows + 1), pa.int64()), "block": pa.array([*block[:rows], None], pa.int64()),
-            "answer": pa.array([*answers, None], pa.binary()), "grams": pa.array([*pad, gram[held].tobytes()], pa.binary()), "levels": pa.array([*pad, level[held].astype(np.uint8).tobytes()], pa.binary()),
-            "tokens": pa.array([*pad, int(total.sum())], pa.int64()), "types": pa.array([*pad, int((total > 0).sum())], pa.int64()),
-            "histogram": pa.array([*pad, np.bincount(level[held], minlength=65).tolist()], pa.list_(pa.int64())),
+            "kind": pa.array([kind] * (len(own) + 1), pa.int32()), "segment": pa.array([segment] * (len(own) + 1), pa.int64()), "block": pa.array([*block, None], pa.int64()),
+            "answer": pa.array([*[total[x].tobytes() if kind == 1 else None for x in own], None], pa.binary()), "levels": pa.array([*[level[x].tobytes() for x in own], None], pa.binary()),
+            "tokens": pa.array([*[None] * len(own), int(total.sum())], pa.int64()), "types": pa.array([*[None] * len(own), int((total > 0).sum())], pa.int64()),
         })
 
     sent = blocks.mapInArrow(send, "kind int, segment long, block long, grams binary, counts binary")
-    schema = "kind int, segment long, block long, answer binary, grams binary, levels binary, tokens long, types long, histogram array<long>"
+    schema = "kind int, segment long, block long, answer binary, levels binary, tokens long, types long"
     return common.write_shared(sent.groupBy("kind", "segment").applyInArrow(add, schema), compression="zstd")
 
 
+def probed(kind: int, gram: np.ndarray, total: np.ndarray, p: LanguageModelParams) -> np.ndarray:
+    """The level that a segment's slice of the filter answers for each of its n-grams."""
+    fewest = 1 if kind == 1 else max(1, p.min_bigram_count)
+    least = int(_levels(np.array([fewest]))[0])
+    held = np.where(total >= fewest, _levels(total) - least + 1, 0)
+    pieces = 1 + p.bits_per_entry * int(held.sum()) // p.max_filter_bits
+    out = np.zeros(len(gram), np.int64)
+    for piece in range(pieces):
+        at = np.flatnonzero(gram % np.uint64(pieces) == piece)
+        if not held[at].any():
+            continue
+        size = (p.bits_per_entry * int(held[at].sum()) // 8 + 1) * 8
+        low, entries = gram[at], held[at]
+        bits = np.zeros(size, bool)
+        for j in range(int(entries.max())):
+            for x in positions(low[entries > j], least + j, size, p.probes):
+                bits[x] = True
+        own = [(size, 0), (least, 1)] if kind == 1 else [(0, size), (1, least)]
+        out[at] = Filter(np.packbits(bits, bitorder="little"), 1, *own, p.probes).level(kind, low)
+    return out
+
+
 def _levels(total: np.ndarray) -> np.ndarray:
     """1 + floor(log2) of a count, 0 for none."""
     return np.where(total > 0, np.frexp(total.astype(np.float64))[1], 0)
@@ -197,7 +214,7 @@ def _levels(total: np.ndarray) -> np.ndarray:
 
 def _value(level: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the geometric middle of its range, 1 for the first."""
-    return np.where(level <= 1, level.astype(np.float64), 2.0 ** (level - 1) * 1.5**0.5)
+    return np.where(level <= 1, level.astype(np.float64), 2.0 ** (level.astype(np.float64) - 1) * 1.5**0.5)
 
 
 @dataclass(frozen=True)
@@ -210,9 +227,6 @@ class Filter:
     least: tuple[int, int]  # first level that is held, by order
     probes: int
 
-    def plain(self) -> tuple:
-        return self.bits, self.segments, self.slice_bits, self.least, self.probes
-
     def level(self, kind: int, gram: np.ndarray) -> np.ndarray:
         """The largest level up to which every entry of an n-gram is there."""
         size = self.slice_bits[kind - 1]
@@ -241,69 +255,38 @@ def positions(low: np.ndarray, level: int, size: int, probes: int) -> Iterator[n
         yield ((a + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)
 
 
-def build(counted: DataFrame, segments: int, p: LanguageModelParams) -> tuple[Filter, int, int]:
-    """The filter, the number of training tokens and of distinct ones."""
-    kinds = counted.where(F.col("block").isNull())
-    stats = {
-        (r.kind, r.level): r.n
-        for r in kinds.select("kind", F.posexplode("histogram").alias("level", "n")).groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()  # at most 130 rows
-    }
-    row = kinds.where("kind = 1").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+def build(counted: DataFrame, segments: int, p: LanguageModelParams) -> tuple[DataFrame, int, int]:
+    """(block, singles, pairs) with the filter's levels for each block, the number of training tokens and of distinct ones."""
+    row = counted.where("kind = 1 AND block IS NULL").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    own = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("segment", "levels")))).getField("levels")
+    held = counted.where("block IS NOT NULL").groupBy("block").agg(own(1).alias("singles"), own(2).alias("pairs"))
+    return held, row.n or 0, row.v or 0
 
-    def entries(kind: int, least: int) -> int:
-        return sum(n * (level - least + 1) for (k, level), n in stats.items() if k == kind and level >= least)
 
-    # a level is a power of two: raise the bigrams' first level, then the unigrams', until all fits
-    least = [1, int(_levels(np.array([p.min_bigram_count]))[0])]
-    while p.bits_per_entry * (entries(1, least[0]) + entries(2, least[1])) > p.max_filter_bits:
-        least[1 if least[1] < 64 else 0] += 1
-    size = tuple((p.bits_per_entry * entries(k, least[k - 1]) // segments // 8 + 1) * 8 if entries(k, least[k - 1]) else 0 for k in _ORDERS)
-    first, probes = tuple(least), p.probes
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, segment, grams, levels in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                low, level = np.frombuffer(grams, np.uint64), np.frombuffer(levels, np.uint8)
-                bits = np.zeros(size[kind - 1], bool)
-                for j in range(first[kind - 1], int(level.max(initial=0)) + 1):
-                    for at in positions(low[level >= j], j, size[kind - 1], probes):
-                        bits[at] = True
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([segment], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["kind", "segment", "bits"])
-
-    bits = np.zeros(sum(size) * segments // 8, np.uint8)
-    slices = kinds.select("kind", "segment", "grams", "levels").where(F.length("grams") > 0)
-    held = slices.where(F.col("kind").isin([k for k in _ORDERS if size[k - 1]])).mapInArrow(fill, "kind int, segment long, bits binary")
-    for r in held.toLocalIterator():  # max_filter_bits in all
-        start = (r.segment * size[r.kind - 1] + (size[0] * segments if r.kind == 2 else 0)) // 8
-        bits[start : start + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
-    return Filter(bits, segments, size, first, probes), row.n or 0, row.v or 0
-
-
-def score(blocks: DataFrame, counted: DataFrame, held: Filter, n: int, v: int, p: LanguageModelParams) -> DataFrame:
+def score(blocks: DataFrame, counted: DataFrame, held: DataFrame, n: int, v: int, p: LanguageModelParams) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every packed document."""
-    answers = counted.where(F.col("block").isNotNull()).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("segment", "answer"))).alias("answers"))
-    spread = blocks.sparkSession.sparkContext.broadcast(held.plain())
-    joined = blocks.join(answers, "block").select("ids", "lengths", "hashes", "numbers", F.col("answers.answer").alias("answers"))
+    answers = counted.where("kind = 1 AND block IS NOT NULL").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("segment", "answer"))).alias("answers"))
+    joined = blocks.join(answers, "block").join(held, "block").select("ids", "lengths", "hashes", "numbers", F.col("answers.answer").alias("answers"), "singles", "pairs")
     whole, kinds, add, backoff = float(n), float(v), p.add, p.backoff
     base = whole + add * (kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Filter(*spread.value)
         for batch in batches:
             for k in range(batch.num_rows):
-                lengths, hashes, numbers, answers = (batch.column(c)[k].as_py() for c in range(1, 5))
+                lengths, hashes, numbers, answers, singles, pairs = (batch.column(c)[k].as_py() for c in range(1, 7))
                 value, number = _unpack(hashes, numbers)
                 lengths = np.array(lengths)
                 starts = np.cumsum(lengths) - lengths
-                exact = np.empty(len(value), np.int64)
-                exact[np.argsort(value)] = np.frombuffer(b"".join(answers), np.int64)
+                order = np.argsort(value)
+                exact, single = np.empty(len(value), np.int64), np.empty(len(value))
+                exact[order] = np.frombuffer(b"".join(answers), np.int64)
+                single[order] = _value(np.frombuffer(b"".join(singles), np.uint8))
                 token = value[number]
-                single = _value(model.level(1, value))
-                gram, back = np.unique(_pairs(_contexts(token, lengths), token), return_inverse=True)
-                pair = _value(model.level(2, gram))[back]
+                back = np.unique(_pairs(_contexts(token, lengths), token), return_inverse=True)[1]
+                pair = _value(np.frombuffer(b"".join(pairs), np.uint8))[back]
                 before = np.empty(len(token))
                 before[1:] = single[number[:-1]]
-                before[starts] = _value(model.level(1, np.array([_END], np.uint64)))[0]
+                before[starts] = single[value == _END][0]
                 one = (single[number] + add) / base
                 weight = before / (before + backoff)
                 both = weight * np.minimum(1.0, pair / np.maximum(before, 1.0)) + (1 - weight) * one
@@ -327,6 +310,6 @@ def op9_lm_score(spark: SparkSession, sf_dir: str, params: LanguageModelParams =
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     segments = segments_for(size, params)
     blocks = pack(documents, common.fold("doc_id", 10) != 0, params)
-    counted = count(blocks, segments)
+    counted = count(blocks, segments, params)
     held, n, v = build(counted, segments, params)
     return score(blocks, counted, held, n, v, params).select("doc_id", (common.fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

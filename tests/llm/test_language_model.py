@@ -77,3 +77,39 @@ def test_seen_texts_score_higher(spark):
     counted = lm.count(blocks, 16)
     score = {r.doc_id: r.score for r in lm.score(blocks, counted, *lm.build(counted, 16, p), p).collect()}
     assert score[101] > score[100] + 1
+
+
+def scores(spark, docs, **kw):
+    p = lm.LanguageModelParams(**kw)
+    blocks = lm.pack(spark.createDataFrame(docs, "doc_id long, text string"), common.fold("doc_id", 10) != 0, p)
+    counted = lm.count(blocks, 16, p)
+    return {r.doc_id: r.score for r in lm.score(blocks, counted, *lm.build(counted, 16, p), p).collect()}
+
+
+def test_every_counted_bigram_is_held(spark):
+    docs = [(k, f"w{k % 40} w{(k * 7) % 40} w{k % 3} seen{k % 5}") for k in range(400)]
+    whole = scores(spark, docs)
+    small = scores(spark, docs, max_filter_bits=64)  # fewer bits than the bigrams need
+    tokens = {k: [f"w{k % 40}", f"w{(k * 7) % 40}", f"w{k % 3}", f"seen{k % 5}", ""] for k, _ in docs}
+    learnt = [k for k in tokens if zlib.crc32(str(k).encode()) % 10]
+    one, two = Counter(w for k in learnt for w in tokens[k]), Counter(x for k in learnt for x in zip(["", *tokens[k]], tokens[k]))
+    n, v = sum(one.values()), len(one)
+    value = lambda c: c if c < 2 else 2.0 ** (c.bit_length() - 1) * 1.5**0.5
+
+    def want(k):
+        total = 0.0
+        for a, b in zip(["", *tokens[k]], tokens[k]):
+            before, pair = value(one[a]), value(two[a, b]) if two[a, b] > 1 else 0
+            weight = before / (before + 5)
+            total += math.log10(weight * min(1, pair / max(before, 1)) + (1 - weight) * (value(one[b]) + 0.1) / (n + 0.1 * (v + 1)))
+        return total
+
+    for got in (whole, small):
+        assert sum(abs(got[k] - want(k)) < 1e-6 for k in tokens) >= 0.9 * len(tokens)  # but for false answers of the filter
+
+
+def test_bigrams_seen_once_are_held_if_asked(spark):
+    docs = [(k, f"a{k} b{k}") for k in range(1, 60)] + [(k, f"a{k - 99} b{k - 98}") for k in range(100, 130)]
+    once, twice = scores(spark, docs, min_bigram_count=1), scores(spark, docs, min_bigram_count=2)
+    learnt = [k for k in range(1, 60) if zlib.crc32(str(k).encode()) % 10]
+    assert sum(once[k] > twice[k] for k in learnt) > 0.9 * len(learnt)
