@@ -32,21 +32,28 @@ def shanghai(ts: Column) -> Column:
     return F.from_utc_timestamp(ts.cast("timestamp"), "Asia/Shanghai")
 
 
-def descendants(directories: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def descendants(directories: DataFrame, roots: DataFrame, check_every: int = 64) -> DataFrame:
     """(root, id, depth) of each root and all below it.
 
     The frontier is joined level by level, one equi-join each, until it is empty;
-    a level is an aggregate count on the driver, never its rows.
+    a level is an aggregate count on the driver, never its rows. A directory has
+    one parent, so only a cycle meets a (root, id) again: that is looked for every
+    `check_every` levels, and is an error.
     """
     edges = directories.select(F.col("id").alias("child"), F.col("parent_id").alias("at")).where("at IS NOT NULL")
     level = directories.join(roots.select(F.col("id").alias("root")), F.col("id") == F.col("root"), "left_semi").select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("depth"))
     found = level
-    for depth in range(1, max_depth):
+    depth = 0
+    while True:
+        depth += 1
         level = level.join(edges, F.col("id") == F.col("at")).select("root", F.col("child").alias("id"), F.lit(depth).cast("long").alias("depth")).persist()
         if level.isEmpty():
-            break
+            return found
+        if depth % check_every == 0 and not level.join(found.select("root", "id"), ["root", "id"], "left_semi").isEmpty():
+            raise ValueError("directories form a cycle")
+        if depth % 4 == 0:
+            level = level.localCheckpoint()  # a plan doubles with each kept level under it
         found = found.union(level)
-    return found
 
 
 def index_build_dedup(builds: DataFrame, seconds: int = 2) -> DataFrame:
