@@ -42,6 +42,9 @@ def descendants(directories: DataFrame, roots: DataFrame, check_every: int = 64)
     """
     edges = directories.select(F.col("id").alias("child"), F.col("parent_id").alias("at")).where("at IS NOT NULL")
     level = directories.join(roots.select(F.col("id").alias("root")), F.col("id") == F.col("root"), "left_semi").select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("depth"))
+    spark = directories.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
     found = level
     depth = 0
     while True:
@@ -52,7 +55,7 @@ def descendants(directories: DataFrame, roots: DataFrame, check_every: int = 64)
         if depth % check_every == 0 and not level.join(found.select("root", "id"), ["root", "id"], "left_semi").isEmpty():
             raise ValueError("directories form a cycle")
         if depth % 4 == 0:
-            level = level.localCheckpoint()  # a plan doubles with each kept level under it
+            level = level.checkpoint()  # a plan doubles with each kept level under it
         found = found.union(level)
 
 
