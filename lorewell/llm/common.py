@@ -16,11 +16,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import let  # noqa: F401  for the operators
+from lorewell.sources.shared import cut_lineage, held, marks, release, shared_dir  # noqa: F401  for the operators
 
 #: Bytes of text that one vectorised step handles; bounds a worker's memory.
 STEP_BYTES = 1 << 20
@@ -43,43 +43,50 @@ def fold(key: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(-1))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() to the shared folder that the session names."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fixed one only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of a row's content; null and empty differ."""
+    part = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
+    return F.unhex(F.md5(F.concat(part(doc_id), F.lit("\x00"), part(text))))
 
 
 def write_shared(df: DataFrame, compression: str = "snappy", rows: int | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, in files fit for about `rows` short rows if that is given.
+    """Writes a table to the shared folder and reads it back, dealt out to files fit for about `rows` short rows if that is given.
 
     Smaller on disk than a checkpoint, as Parquet is compressed. The folder
     goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(files_for(rows))).write.parquet(path, compression=compression)
+    (df if rows is None else df.repartition(files_for(rows))).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Keeps a table that is read more than once on the executors' disks; what a lost executor had is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def small(df: DataFrame, limit: int) -> DataFrame:
     """The table, kept, and marked for broadcast if it is counted and within the limit."""
     kept = held(df)
     return F.broadcast(kept) if kept.count() <= limit else kept
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, limit: int, how: str = "left") -> DataFrame:
+    """`rows` joined with `table`, which has one row for each key and in `n` how many rows have it.
+
+    Broadcast while the table has at most `limit` rows. Beyond, keys of many rows
+    are looked up by broadcast, of which there are at most `limit` by their share
+    of all rows, and the others by shuffle: no task gets a hot key.
+    """
+    kept = held(table)
+    many, total = kept.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if many <= limit:
+        return rows.join(F.broadcast(kept.drop("n")), key, how)
+    hot = kept.where(F.col("n") > total // max(1, limit)).drop("n")
+    rest = kept.where(F.col("n") <= total // max(1, limit)).drop("n")
+    names = hot.select(F.col(key).alias("_hot"))
+    often = rows.join(F.broadcast(hot), key)
+    seldom = rows.join(F.broadcast(names), F.col(key) == F.col("_hot"), "left_anti").join(rest, key, how)
+    return often.unionByName(seldom)
+
+
 def files_for(rows: int) -> int:
     """Partitions of a table of so many short rows."""
     return max(3, rows // 100_000)

@@ -2,9 +2,14 @@
 
 Every round links the neighbours of a node to its smallest neighbour, first the
 larger ones and then the smaller, until each component is a star around its
-smallest node. Rounds grow with the logarithm of the graph's diameter. Each is
-two aggregations and two equi-joins, which Spark splits where one node has very
-many neighbours; nothing but a count and a checksum reaches the driver.
+smallest node. Rounds grow with the logarithm of the graph's diameter. Nothing
+but a count and a checksum reaches the driver.
+
+`contract` comes first where links are known by group: what it leaves are links
+between the groups' roots, of which a node has as many as there are groups that
+it is in, not as many as it has neighbours.
+
+Edge cases: no links, links of a node with itself, and repeated links are fine.
 """
 
 from __future__ import annotations
@@ -20,11 +25,18 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row.n, int(row.h or 0)
 
 
+def contract(stars: DataFrame) -> DataFrame:
+    """(u, v) links between the roots that a node has, from rows with `roots`, all roots of a node, and `root`, the smallest."""
+    return stars.where("size(roots) > 1").select(F.explode("roots").alias("u"), F.col("root").alias("v")).where("u != v").distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (u, v); a root is its component's smallest node."""
     now = held(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
     for turn in range(1, max_rounds + 1):
+        if not state[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -32,8 +44,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         # the number of edges hardly changes: it says how many partitions the next ones need
         now = small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files_for(state[0]))
-        # lineage is cut every other round, so a graph that settles at once needs one small file set
-        now = cut_lineage(now) if turn % 2 else held(now)
+        # lineage is cut every other round, so a graph that settles at once needs no files
+        now = held(now) if turn % 2 else cut_lineage(now)
         before, state = state, _state(now)
         if state == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -6,14 +6,17 @@
 2. Documents with equal sets collapse to one representative with a weight, so
    thousands of copies cost one row from here on.
 3. Band hashes are shuffled; buckets of one row vanish and buckets with the same
-   members count once. A bucket of more than `block` members is dealt out as
-   pairs of blocks, so no task holds a bucket and none is cut short.
+   members count once. Each member's text is read and cut into its set once; the
+   packed set then goes to the member's buckets. A bucket of more than `block`
+   members, or `block_bytes` of sets, is dealt out as pairs of blocks, so no task
+   holds a bucket and none is cut short.
 4. A task verifies all pairs of its blocks at once, as products of 0/1 matrices
    over the full sets, in column stripes of bounded width. It emits one row for
    each member: how many documents it is linked to, and the smallest member that
    it is connected with. Pairs are never emitted. A pair that meets in several
    buckets is counted in the first.
-5. Connected components of those star edges are the near-duplicate classes.
+5. A member's roots are linked with its smallest root; connected components of
+   these few links are the near-duplicate classes.
 
 Result: one row for each document with its class (the smallest doc_id in it) and
 its number of links, i.e. other documents at the threshold or above.
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import common
-from lorewell.llm.components import components
+from lorewell.llm.components import components, contract
 
 
 @dataclass(frozen=True)
@@ -47,10 +50,11 @@ class JaccardParams:
     threshold: float = 0.8
     recall: float = 0.9995
     max_hashes: int = 128
-    #: Members of a bucket that one side of a task holds.
-    block: int = 256
-    #: Sides of at most so many rows are broadcast (some 50 bytes each); beyond, joins shuffle.
-    broadcast_rows: int = 400_000
+    #: Members of a bucket that one side of a task holds, and bytes of their sets.
+    block: int = 512
+    block_bytes: int = 8 << 20
+    #: Sides of at most so many rows are broadcast (some 200 bytes each at most); beyond, joins shuffle.
+    broadcast_rows: int = 100_000
     stripe: int = 4096
 
 
@@ -65,11 +69,6 @@ def bands_and_rows(p: JaccardParams) -> tuple[int, int]:
     return best
 
 
-def _key() -> Column:
-    """Identifies a row's content."""
-    return F.xxhash64("doc_id", "text")
-
-
 def sign(documents: DataFrame, p: JaccardParams) -> DataFrame:
     """doc_id, a key of the row, the digest of the shingle set (null: none), its size, and band hashes."""
     bands, rows = bands_and_rows(p)
@@ -93,31 +92,62 @@ def sign(documents: DataFrame, p: JaccardParams) -> DataFrame:
                 digest[d], size[d], band[d] = hashlib.md5(sets[k].tobytes()).digest(), len(sets[k]), hashes[:, k].view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array(digest, pa.binary()), pa.array(size), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "sid", "size", "bands"])
 
-    rows_in = documents.select("doc_id", _key().alias("key"), "text")
-    return common.held(rows_in.mapInArrow(run, "doc_id long, key long, sid binary, size long, bands array<long>"))
+    rows_in = documents.select("doc_id", common.row_key().alias("key"), "text")
+    return common.held(rows_in.mapInArrow(run, "doc_id long, key binary, sid binary, size long, bands array<long>"))
 
 
 def representatives(signed: DataFrame) -> DataFrame:
     """One row for each distinct shingle set: the first row that has it and how many have it."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    found = signed.where("sid IS NOT NULL").groupBy("sid").agg(first, F.count("*").alias("weight"), F.any_value("bands").alias("bands"))
-    return common.write_shared(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "bands"), rows=signed.count())
-
-
-def memberships(reps: DataFrame, p: JaccardParams) -> DataFrame:
-    """(bucket, i, j, part, sid, weight, key, buckets): a row for each task that a member of a shared bucket is in."""
-    rows = reps.select(F.explode("bands").alias("bucket"), "sid")
-    print_of = F.sum(F.xxhash64("sid").cast("decimal(20,0)"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sid").alias("least"), print_of.alias("print")).where("n > 1")
-    chosen = shared.groupBy("n", "least", "print").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    member = common.held(rows.join(common.small(chosen, p.broadcast_rows), "bucket"))
-    lists = member.groupBy("sid").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))  # at most one for each band
-    blocks = F.ceil(F.col("n") / p.block).cast("int")
-    dealt = member.withColumn("part", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return (
-        dealt.join(lists, "sid").join(reps.select("sid", "weight", "key"), "sid")
-        .select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "sid", "weight", "key", "buckets")
-    )
+    found = signed.where("sid IS NOT NULL").groupBy("sid").agg(first, F.count("*").alias("weight"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
+    return common.held(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "size", "bands"))
+
+
+def members(reps: DataFrame, p: JaccardParams) -> DataFrame:
+    """(sid, key, weight, own): the sets that share a bucket, each with its buckets and the blocks that these are dealt out to."""
+    rows = reps.select(F.explode("bands").alias("bucket"), "sid", "size")
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"same{k}") for k in range(2)]  # buckets with the same members
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *same).where("n > 1")
+    shared = shared.groupBy("n", "total", "same0", "same1").agg(F.min("bucket").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("total") * 8 / p.block_bytes)).cast("int").alias("blocks")
+    chosen = common.small(shared.select("bucket", blocks), p.broadcast_rows)
+    own = rows.join(chosen, "bucket").groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bucket", "blocks"))).alias("own"))  # at most one for each band
+    return common.held(own.join(reps.select("sid", "key", "weight"), "sid"))
+
+
+def deal(documents: DataFrame, known: DataFrame, p: JaccardParams) -> DataFrame:
+    """(bucket, i, j, part, sid, weight, buckets, packed): each member's packed set for each task that it is in."""
+    rows = documents.select(common.row_key().alias("key"), "text").join(F.broadcast(known) if known.count() <= p.broadcast_rows else known, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out, size
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "i", "j", "part", "sid", "weight", "buckets", "packed"])
+            out, size = [], 0
+            return made
+
+        for part in common.slices(batches):
+            h, _, _, bounds = common.words(*common.text_arrays(part.column("text")))
+            s, place = common.shingles(h, bounds, p.words)
+            for k, (sid, weight, own) in enumerate(zip(*(part.column(c).to_pylist() for c in ("sid", "weight", "own")))):
+                packed = np.unique(s[place[k] : place[k + 1]]).tobytes()
+                buckets = np.array([x["bucket"] for x in own], "<i8").tobytes()
+                for x in own:
+                    mine = int.from_bytes(sid[:8], "little") % x["blocks"]
+                    for other in range(x["blocks"]):
+                        out.append((x["bucket"], min(mine, other), max(mine, other), mine, sid, weight, buckets, packed))
+                        size += len(packed)
+                        if size > common.STEP_BYTES:
+                            yield flush()
+        if out:
+            yield flush()
+
+    schema = "bucket long, i int, j int, part int, sid binary, weight long, buckets binary, packed binary"
+    return rows.select("sid", "weight", "own", "text").mapInArrow(run, schema)
 
 
 def _overlaps(sets: list[np.ndarray], stripe: int) -> np.ndarray:
@@ -139,48 +169,32 @@ def _overlaps(sets: list[np.ndarray], stripe: int) -> np.ndarray:
     return out
 
 
-def verify(bucket: int, i: int, j: int, part: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, buckets: list[list[int]], p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
-    """For each member: linked documents that count in this bucket, and the place of the first member it is connected with."""
+def verify(bucket: int, i: int, j: int, part: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, buckets: list[np.ndarray], p: JaccardParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each member: has it a partner, the linked documents that count in this bucket, the place of the first member it is connected with."""
     m = len(sets)
     size = np.array([len(x) for x in sets], np.float64)
     both = _overlaps(sets, p.stripe)
     good = both >= p.threshold * (size[:, None] + size[None, :] - both) - 1e-6
     if i != j:
         good &= part[:, None] != part[None, :]
-    a, b = np.nonzero(np.triu(good, 1))
-    links, root = np.zeros(m, np.int64), np.arange(m)
-    if not len(a):
-        return links, root
-    wide = max(map(len, buckets))
-    table = np.zeros((m, wide), np.int64)
-    held = np.zeros((m, wide), bool)
-    for k, x in enumerate(buckets):
-        table[k, : len(x)], held[k, : len(x)] = x, True
-    for s in range(0, len(a), 4096):
-        x, y = a[s : s + 4096], b[s : s + 4096]
-        same = (table[x][:, :, None] == table[y][:, None, :]) & held[x][:, :, None] & held[y][:, None, :]
-        shared = same.any(axis=2)
-        first = table[x, shared.argmax(axis=1)]  # lists ascend
-        own = first == bucket
-        np.add.at(links, x[own], weight[y[own]])
-        np.add.at(links, y[own], weight[x[own]])
+    np.fill_diagonal(good, False)
+    some, root = good.any(1), np.arange(m)
+    if not some.any():
+        return some, np.zeros(m, np.int64), root
     while True:
-        least = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == root).all():
-            return links, root
-        root = new
-
-
-def link(documents: DataFrame, reps: DataFrame, p: JaccardParams) -> DataFrame:
-    """(sid, links, root): for each member of a task its links there and the set it is connected with."""
-    member = common.held(memberships(reps, p))
-    wanted = common.small(member.select("key").distinct(), p.broadcast_rows)
-    texts = documents.select(_key().alias("key"), "text").join(wanted, "key").groupBy("key").agg(F.any_value("text").alias("text"))
-    tasks = member.join(texts, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "sid")
+        least = np.minimum(root, np.where(good, root[None, :], m).min(1))
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    # pairs that share an earlier bucket count there
+    earlier = _overlaps([x[x < bucket] for x in buckets], p.stripe)
+    return some, (good & (earlier == 0)) @ weight, root
+
+
+def link(documents: DataFrame, known: DataFrame, p: JaccardParams) -> DataFrame:
+    """(sid, links, root): for each member of a task that has a partner there its links and the set it is connected with."""
+    tasks = deal(documents, known, p).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -191,8 +205,8 @@ def link(documents: DataFrame, reps: DataFrame, p: JaccardParams) -> DataFrame:
             nonlocal held
             if len(held) > 1:
                 part, sid, weight, buckets, sets = zip(*held)
-                links, root = verify(*at, np.array(part), list(sets), np.array(weight), list(buckets), p)
-                out.extend((sid[k], int(links[k]), sid[root[k]]) for k in range(len(held)) if links[k] or root[k] != k)
+                some, links, root = verify(*at, np.array(part), list(sets), np.array(weight), list(buckets), p)
+                out.extend((sid[k], int(links[k]), sid[root[k]]) for k in np.flatnonzero(some))
             held = []
 
         def flush() -> pa.RecordBatch:
@@ -200,53 +214,59 @@ def link(documents: DataFrame, reps: DataFrame, p: JaccardParams) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["sid", "links", "root"])
 
         for batch in batches:
-            for sub in common.slices(iter([batch])):
-                h, _, _, bounds = common.words(*common.text_arrays(sub.column("text")))
-                s, place = common.shingles(h, bounds, p.words)
-                keys = zip(*(sub.column(c).to_pylist() for c in ("bucket", "i", "j")))
-                rest = zip(*(sub.column(c).to_pylist() for c in ("part", "sid", "weight", "buckets")))
-                for k, (key, row) in enumerate(zip(keys, rest)):
-                    if key != at:
-                        close()
-                        at = key
-                    held.append((*row, np.unique(s[place[k] : place[k + 1]])))
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for *key, part, sid, weight, buckets, packed in zip(*columns):
+                if tuple(key) != at:
+                    close()
+                    at = tuple(key)
+                if not held or held[-1][1] != sid:  # rows that repeat each other entirely bring a set twice
+                    held.append((part, sid, weight, np.frombuffer(buckets, "<i8"), np.frombuffer(packed, np.uint64)))
             if len(out) > 10_000:
                 yield flush()
                 out = []
         close()
         yield flush()
 
-    return tasks.select("bucket", "i", "j", "part", "sid", "weight", "buckets", "text").mapInArrow(run, "sid binary, links long, root binary")
+    return tasks.mapInArrow(run, "sid binary, links long, root binary")
 
 
 def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
-    """doc_id, key, first (is this row's content the class's first), class_id, n_links for every document."""
+    """doc_id, key, first (is this row's content the class's first), class_id, n_links for every document; written to the shared folder."""
+    since = common.marks()
     signed = sign(documents, p)
     reps = representatives(signed)
-    linked = common.write_shared(link(documents, reps, p), rows=reps.count())
-    links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
-    root = components(linked.select(F.col("sid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("sid"), "root")
-    plain = reps.drop("bands").join(links, "sid", "left").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    linked = link(documents, members(reps, p), p)
+    stars = common.held(linked.groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.collect_set("root").alias("roots")))  # a root for each task at most
+    roots = components(contract(stars)).withColumnRenamed("root", "top")
+    near = stars.select("sid", "links", "root").join(roots, F.col("root") == F.col("node"), "left").select("sid", "links", F.coalesce("top", "root").alias("root"))
+    near = common.held(near.join(reps.select("sid", "rep", "key"), "sid"))
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "key")).alias("first")
-    heads = plain.groupBy("root").agg(first)
-    known = plain.join(heads, "root").select(
-        "sid", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
-    )
-    return signed.select("doc_id", "key", "sid").join(known, "sid", "left").select(
+    heads = near.groupBy("root").agg(F.count("*").alias("n"), first).select("root", "n", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("head"))
+    classes = common.lookup(near.select("sid", "links", "root"), heads, "root", p.broadcast_rows).drop("root")
+    own = reps.select("sid", "rep", "key", "weight").withColumnRenamed("key", "alone").join(classes, "sid", "left").select(
+        "sid", F.when(F.col("head").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "alone").alias("head"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    found = signed.select("doc_id", "key", "sid").join(own, "sid", "left").select(
         "doc_id", "key", F.coalesce(F.col("key") == F.col("head"), F.lit(True)).alias("first"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    out = common.write_shared(found, rows=signed.count())
+    common.release(since)
+    return out
 
 
 def deduplicate(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; all columns."""
-    found = common.write_shared(classify(documents, p).select("key", "first", "n_links"), rows=documents.count())
-    gone = common.small(found.where("NOT first").select(F.col("key").alias("_gone")).distinct(), p.broadcast_rows)
-    again = common.small(found.where("first AND n_links > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("_again")), p.broadcast_rows)
+    found = classify(documents, p).where("n_links > 0")
+    odd = found.groupBy("key").agg(F.bool_or("first").alias("_first"), F.count("*").alias("_rows")).where("NOT _first OR _rows > 1")
+    odd = common.small(odd.select(F.col("key").alias("_odd"), "_first"), 4 * p.broadcast_rows)
     plain, names = common.renamed(documents)
     at = {c: n for n, c in zip(names, documents.columns)}
-    keyed = plain.withColumn("_key", F.xxhash64(at["doc_id"], at["text"])).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    alone = keyed.join(again, F.col("_key") == F.col("_again"), "left_anti").select(*names)
-    one = keyed.join(again, F.col("_key") == F.col("_again"), "left_semi").groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
+    keyed = plain.withColumn("_key", common.row_key(at["doc_id"], at["text"])).join(odd, F.col("_key") == F.col("_odd"), "left")
+    alone = keyed.where("_odd IS NULL").select(*names)
+    if odd.where("_first").isEmpty():
+        return alone.toDF(*documents.columns)
+    # rows that repeat their class's first one entirely
+    one = keyed.where("_first").groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
     return alone.union(one).toDF(*documents.columns)
 
 

@@ -10,7 +10,7 @@ Scoring is one pass over the documents without any shuffle.
 Edge cases: a null or empty text has no feature and gets the score of the
 intercept; a label of a missing document, a null label and a null doc_id are not
 learnt from; a document labelled more than once counts with its largest label;
-repeated rows are scored each; an empty table gives an empty result; without
+repeated rows are scored each, and of rows with the same doc_id one is learnt from; an empty table gives an empty result; without
 labels every score is 0. Columns beside doc_id and text are not read.
 """
 
@@ -35,8 +35,9 @@ class ToxicityParams:
     l1: float = 3.0
     l2: float = 1.0
     epochs: int = 3
-    #: Bound on the labelled rows that are learnt from.
+    #: Bounds on the labelled rows that are learnt from, and on the features of each, those with the smallest hashes.
     max_train_docs: int = 20_000
+    max_train_features: int = 4096
     threshold: float = 0.3
 
 
@@ -97,12 +98,17 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
     )
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k")).select("doc_id", "label", "text")
 
+    def bounded(idx: np.ndarray) -> np.ndarray:
+        if len(idx) <= p.max_train_features:
+            return idx
+        return idx[np.argpartition(common.mix(idx.astype(np.uint64) + np.uint64(1)), p.max_train_features)[: p.max_train_features]]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
             h, _, _, bounds = common.words(*common.text_arrays(part.column("text")))
             both = np.unique(np.concatenate([own << p.bits | f for own, f in _features(h, bounds, p.bits)]))
             idx, starts = (both & ((1 << p.bits) - 1)).astype(np.int32), np.searchsorted(both >> p.bits, np.arange(part.num_rows + 1))
-            blobs = [idx[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+            blobs = [bounded(idx[a:b]).tobytes() for a, b in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "label", "features"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +119,9 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
         kept = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([kept.astype(np.int32).tobytes()], pa.binary()), pa.array([w[kept].astype(np.float32).tobytes()], pa.binary()), pa.array([b])], ["idx", "w", "b"])
 
-    encoded = rows.mapInArrow(encode, "doc_id long, label int, features binary").repartition(1)
+    encoded = rows.mapInArrow(encode, "doc_id long, label int, features binary")
+    # a doc_id that repeats is learnt from once, so that rows are bounded as ids are
+    encoded = encoded.groupBy("doc_id", "label").agg(F.min("features").alias("features")).coalesce(1)
     got = encoded.mapInArrow(learn, "idx binary, w binary, b double").collect()  # one row of at most 8 * 2**bits bytes
     if not got:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), -40.0, p.bits)
