@@ -93,14 +93,14 @@ def sign(documents: DataFrame, p: JaccardParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array(digest, pa.binary()), pa.array(size), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "sid", "size", "bands"])
 
     rows_in = documents.select("doc_id", common.row_key().alias("key"), "text")
-    return common.held(rows_in.mapInArrow(run, "doc_id long, key binary, sid binary, size long, bands array<long>"))
+    return common.write_shared(rows_in.mapInArrow(run, "doc_id long, key binary, sid binary, size long, bands array<long>"), rows=documents.count())
 
 
 def representatives(signed: DataFrame) -> DataFrame:
     """One row for each distinct shingle set: the first row that has it and how many have it."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     found = signed.where("sid IS NOT NULL").groupBy("sid").agg(first, F.count("*").alias("weight"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
-    return common.held(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "size", "bands"))
+    return common.write_shared(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "size", "bands"), rows=signed.count())
 
 
 def members(reps: DataFrame, p: JaccardParams) -> DataFrame:
@@ -112,7 +112,7 @@ def members(reps: DataFrame, p: JaccardParams) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("total") * 8 / p.block_bytes)).cast("int").alias("blocks")
     chosen = common.small(shared.select("bucket", blocks), p.broadcast_rows)
     own = rows.join(chosen, "bucket").groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bucket", "blocks"))).alias("own"))  # at most one for each band
-    return common.held(own.join(reps.select("sid", "key", "weight"), "sid"))
+    return common.write_shared(own.join(reps.select("sid", "key", "weight"), "sid"), rows=reps.count())
 
 
 def deal(documents: DataFrame, known: DataFrame, p: JaccardParams) -> DataFrame:
@@ -235,11 +235,12 @@ def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFr
     since = common.marks()
     signed = sign(documents, p)
     reps = representatives(signed)
-    linked = link(documents, members(reps, p), p)
-    stars = common.held(linked.groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.collect_set("root").alias("roots")))  # a root for each task at most
+    known = members(reps, p)
+    stars = link(documents, known, p).groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.collect_set("root").alias("roots"))  # a root for each task at most
+    stars = common.write_shared(stars, rows=known.count())
     roots = components(contract(stars)).withColumnRenamed("root", "top")
     near = stars.select("sid", "links", "root").join(roots, F.col("root") == F.col("node"), "left").select("sid", "links", F.coalesce("top", "root").alias("root"))
-    near = common.held(near.join(reps.select("sid", "rep", "key"), "sid"))
+    near = near.join(reps.select("sid", "rep", "key"), "sid")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "key")).alias("first")
     heads = near.groupBy("root").agg(F.count("*").alias("n"), first).select("root", "n", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("head"))
     classes = common.lookup(near.select("sid", "links", "root"), heads, "root", p.broadcast_rows).drop("root")
