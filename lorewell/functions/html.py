@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: tags whose text is dropped, and tags that end a line
+# fixed values: tags whose text is dropped, and tags that begin a line
 SILENT = {"script", "style", "noscript"}
-BLOCKS = {"p", "div", "br", "li", "tr", "table", "ul", "ol", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6"}
+BLOCKS = {"br", "p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"}
 
 
 def extract(html: str | None) -> str | None:
-    """Trimmed text nodes joined by spaces, a new line at each block tag."""
+    """Trimmed text nodes joined by spaces, a new line where a block begins; an end tag ends no line."""
     if html is None:
         return None
     lines: list[list[str]] = [[]]
@@ -25,14 +25,16 @@ def extract(html: str | None) -> str | None:
         def handle_starttag(self, tag: str, attrs: list) -> None:
             if tag in SILENT:
                 silent.append(tag)
-            elif tag in BLOCKS:
+            elif tag in BLOCKS and not silent:
+                lines.append([])
+
+        def handle_startendtag(self, tag: str, attrs: list) -> None:
+            if tag in BLOCKS and not silent:
                 lines.append([])
 
         def handle_endtag(self, tag: str) -> None:
             if silent and tag == silent[-1]:
                 silent.pop()
-            elif tag in BLOCKS:
-                lines.append([])
 
         def handle_data(self, data: str) -> None:
             if not silent and data.strip():

@@ -175,7 +175,14 @@ inline(
 )
 
 
-@query("html_extract")
+_HTML = r"""SELECT page_id, coalesce(list_aggregate(list_filter(list_transform(string_split(body, chr(2)), lambda line: list_aggregate(list_filter(list_transform(string_split(line, chr(1)),
+ lambda node: trim(regexp_replace(replace(replace(replace(replace(replace(node, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), chr(9) || chr(10) || chr(13) || ' ')),
+ lambda x: x <> ''), 'string_agg', ' ')), lambda x: x <> ''), 'string_agg', chr(10)), '') AS text FROM
+ (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[ >].*?</(script|style|noscript)>', chr(1), 'g'), '(?s)<!--.*?-->', chr(1), 'g'),
+ '(?i)<(br|p|div|li|tr|h[1-6]|section|article)(\s[^>]*)?/?>', chr(2), 'g'), '(?s)<[a-zA-Z/!][^>]*>', chr(1), 'g') AS body FROM pages)"""
+
+
+@query("html_extract", _HTML)
 def html_extract(t):
     return t("pages").select("page_id", html_text(c("html")).alias("text"))
 

@@ -8,7 +8,6 @@ error instead, and the others go on.
 from __future__ import annotations
 
 import io
-import json
 import posixpath
 import re
 import zipfile
@@ -17,13 +16,16 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.functions.html import extract as html_to_text
 from lorewell.functions.text import detect_format
+from lorewell.sources import pages as pdf_pages
 
 SCHEMA = "path string, format string, text string, pages int, error string"
+#: Unpacked bytes that one part of an office file may have.
+MAX_PART = 256 << 20
 
 
 class PermanentError(ValueError):
@@ -35,7 +37,11 @@ class Recognizers:
     """Model-backed readers; None where there is none."""
 
     image: Callable[[bytes], str] | None = None
-    pdf: Callable[[bytes], list[str]] | None = None
+    #: The pages of a PDF, as texts or with a signal each.
+    pdf: Callable[[bytes], list] | None = None
+    #: Recognises one page of a PDF, or given pages at once.
+    pdf_page: Callable[[bytes, int], str] | None = None
+    pdf_whole: Callable[[bytes, list[int]], str] | None = None
 
 
 def decode(data: bytes) -> tuple[str, str]:
@@ -64,32 +70,42 @@ def _name(element: ElementTree.Element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def _parts(data: bytes) -> dict[str, bytes]:
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return {n: z.read(n) for n in z.namelist()}
-    except zipfile.BadZipFile as e:
-        raise PermanentError(f"not an office file: {e}") from e
+class Parts:
+    """The parts of an office file, unpacked when they are asked for and up to a size."""
+
+    def __init__(self, data: bytes) -> None:
+        try:
+            self.zip = zipfile.ZipFile(io.BytesIO(data))
+        except zipfile.BadZipFile as e:
+            raise PermanentError(f"not an office file: {e}") from e
+        self.sizes = {x.filename: x.file_size for x in self.zip.infolist()}
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.sizes
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.sizes)
+
+    def __getitem__(self, name: str) -> bytes:
+        if self.sizes[name] > MAX_PART:
+            raise PermanentError(f"{name} unpacks to {self.sizes[name]} bytes")
+        return self.zip.read(name)
+
+    def get(self, name: str, default: bytes | None = None) -> bytes | None:
+        return self[name] if name in self.sizes else default
 
 
 def word_text(xml: bytes) -> str:
     """Runs joined; tabs, breaks, cells and paragraphs as their separators."""
     out: list[str] = []
-    ends = {"p": "\n", "tc": "\t", "tr": "\n"}
-
-    def walk(e: ElementTree.Element) -> None:
+    at_start, at_end = {"tab": "\t", "br": "\n", "cr": "\n"}, {"p": "\n", "tc": "\t", "tr": "\n"}
+    for event, e in ElementTree.iterparse(io.BytesIO(xml), ("start", "end")):  # however deep the tree is
         kind = _name(e)
-        if kind == "t":
-            out.append(e.text or "")
-        elif kind == "tab":
-            out.append("\t")
-        elif kind in ("br", "cr"):
-            out.append("\n")
-        for child in e:
-            walk(child)
-        out.append(ends.get(kind, ""))
-
-    walk(ElementTree.fromstring(xml))
+        if event == "start":
+            out.append(at_start.get(kind, ""))
+        else:
+            out.append((e.text or "") if kind == "t" else at_end.get(kind, ""))
+            e.clear()
     return "".join(out)
 
 
@@ -103,17 +119,17 @@ def drawing_text(xml: bytes) -> str:
 
 
 def _docx(data: bytes, use: Recognizers) -> tuple[str, int]:
-    parts = _parts(data)
+    parts = Parts(data)
     if "word/document.xml" not in parts:
         raise PermanentError("no document part")
     text = word_text(parts["word/document.xml"]).strip()
     if not text and use.image:
-        text = "\n\n".join(filter(None, (use.image(v).strip() for k, v in sorted(parts.items()) if k.startswith("word/media/"))))
+        text = "\n\n".join(filter(None, (use.image(parts[k]).strip() for k in sorted(parts) if k.startswith("word/media/") and is_image(k))))
     return text, 1
 
 
 def _pptx(data: bytes, use: Recognizers) -> tuple[str, int]:
-    parts = _parts(data)
+    parts = Parts(data)
     slides = sorted((int(m[1]), n) for n in parts if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
     out = []
     for number, name in slides:
@@ -121,14 +137,14 @@ def _pptx(data: bytes, use: Recognizers) -> tuple[str, int]:
         rel = parts.get(f"ppt/slides/_rels/slide{number}.xml.rels")
         if not text and rel and use.image:
             targets = [posixpath.normpath(posixpath.join("ppt/slides", e.get("Target", ""))) for e in ElementTree.fromstring(rel)]
-            text = "\n".join(filter(None, (use.image(parts[x]).strip() for x in targets if x in parts and "/media/" in x)))
+            text = "\n".join(filter(None, (use.image(parts[x]).strip() for x in targets if x in parts and is_image(x))))
         if text:
             out.append(f"## 第 {number} 页\n\n{text}")
     return "\n\n".join(out), len(slides)
 
 
 def _xlsx(data: bytes, use: Recognizers) -> tuple[str, int]:
-    parts = _parts(data)
+    parts = Parts(data)
     shared = ["".join(t.text or "" for t in e.iter() if _name(t) == "t") for e in ElementTree.fromstring(parts["xl/sharedStrings.xml"])] if "xl/sharedStrings.xml" in parts else []
     book = ElementTree.fromstring(parts.get("xl/workbook.xml", b"<x/>"))
     rels = {e.get("Id"): e.get("Target", "") for e in ElementTree.fromstring(parts.get("xl/_rels/workbook.xml.rels", b"<x/>"))}
@@ -142,7 +158,8 @@ def _xlsx(data: bytes, use: Recognizers) -> tuple[str, int]:
             for cell in row:
                 v = next((e.text or "" for e in cell if _name(e) == "v"), "")
                 inline = "".join(t.text or "" for t in cell.iter() if _name(t) == "t")
-                cells.append(shared[int(v)] if cell.get("t") == "s" and v else inline or v)
+                number = int(v) if cell.get("t") == "s" and v.isdigit() else -1
+                cells.append(shared[number] if 0 <= number < len(shared) else inline or v)
             if any(c.strip() for c in cells):
                 rows.append("\t".join(cells).rstrip("\t"))
         if rows:
@@ -150,23 +167,34 @@ def _xlsx(data: bytes, use: Recognizers) -> tuple[str, int]:
     return "\n\n".join(out), len(sheets)
 
 
-def _pdf(data: bytes, use: Recognizers) -> tuple[str, int]:
+def _pdf(data: bytes, use: Recognizers, path: str = "") -> tuple[str, int]:
     if use.pdf is None:
         raise PermanentError("no PDF reader is set")
-    pages = use.pdf(data)
-    return "\n\n".join(f"## 第 {k} 页\n\n{p.strip()}" for k, p in enumerate(pages, 1) if p.strip()), len(pages)
+    found = use.pdf(pdf_pages.with_known_cmaps(data))
+    by_page = (lambda k: use.pdf_page(data, k)) if use.pdf_page else None
+    whole = (lambda ks: use.pdf_whole(data, ks)) if use.pdf_whole else None
+    try:
+        return pdf_pages.read(found, path, by_page, whole), len(found)
+    except ValueError as e:
+        raise PermanentError(str(e)) from e
+
+
+def is_image(name: str) -> bool:
+    return posixpath.splitext(name.lower())[1] in pdf_pages.IMAGES
 
 
 def _image(data: bytes, use: Recognizers) -> tuple[str, int]:
     if use.image is None:
         raise PermanentError("no image recognizer is set")
-    return use.image(data), 1
+    return pdf_pages.clean_recognised(use.image(data)), 1
 
 
-def extract(data: bytes, fmt: str, use: Recognizers = Recognizers()) -> tuple[str, int]:
+def extract(data: bytes, fmt: str, use: Recognizers = Recognizers(), path: str = "") -> tuple[str, int]:
     """Text and number of pages, sheets or slides; PermanentError where there is no text to have."""
-    readers = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "pdf": _pdf, "image": _image}
-    if fmt in readers:
+    readers = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx, "image": _image}
+    if fmt == "pdf":
+        text, pages = _pdf(data, use, path)
+    elif fmt in readers:
         text, pages = readers[fmt](data, use)
     elif fmt in ("text", "markdown", "csv", "json", "html"):
         text, pages = decode(data)[0], 1
@@ -181,71 +209,24 @@ def extract(data: bytes, fmt: str, use: Recognizers = Recognizers()) -> tuple[st
     return text, pages
 
 
-def read_files(spark: SparkSession, path: str, use: Recognizers = Recognizers(), content_type: str = "") -> DataFrame:
-    """One row (path, format, text, pages, error) for each file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", detect_format(F.col("path"), F.lit(content_type)).alias("format"), "content")
+def read_files(spark: SparkSession, path: str, use: Recognizers = Recognizers(), content_type: Column | str = "") -> DataFrame:
+    """One row (path, format, text, pages, error) for each file below a path.
+
+    The format follows from a file's extension, else from its content type: one
+    for all, or an expression over `path`. A file that cannot be read has its
+    error and no text; the others go on.
+    """
+    kind = F.lit(content_type) if isinstance(content_type, str) else content_type
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", detect_format(F.col("path"), kind).alias("format"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file, fmt, data in batch.itertuples(index=False):
                 try:
-                    rows.append((file, fmt, *extract(bytes(data), fmt, use), None))
-                except (ValueError, KeyError, ElementTree.ParseError) as e:
-                    rows.append((file, fmt, None, 0, str(e)))
+                    rows.append((file, fmt, *extract(bytes(data), fmt, use, file), None))
+                except Exception as e:  # whatever a broken file does to a parser, it is that file's error
+                    rows.append((file, fmt, None, 0, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "format", "text", "pages", "error"])
 
     return files.mapInPandas(run, SCHEMA)
-
-
-def note_markdown(raw: str) -> str:
-    """Editor blocks as Markdown: headings by level, list items, attachments by name, the rest as lines."""
-    out: list[str] = []
-
-    def text_of(node: object) -> str:
-        if isinstance(node, dict):
-            own = node.get("text") if isinstance(node.get("text"), str) else ""
-            return own + "".join(text_of(x) for x in node.get("children", []) if isinstance(node.get("children"), list))
-        return ""
-
-    def walk(node: dict, depth: int) -> None:
-        kind, text = str(node.get("type", "")), text_of(node).strip()
-        if kind == "heading":
-            out.append("#" * min(6, max(1, int(node.get("level", 1)))) + " " + text)
-        elif kind in ("list", "list-item"):
-            out.append("  " * depth + "- " + text)
-        elif kind == "attachment":
-            out.append(f"[{node.get('name', 'attachment')}]")
-        elif kind == "doc":
-            for child in node.get("children", []):
-                walk(child, depth)
-        elif text:
-            out.append(text)
-
-    for block in (x for x in [json.loads(raw)] for x in (x if isinstance(x, list) else [x])):
-        if isinstance(block, dict):
-            walk(block, 0)
-    return "\n\n".join(x for x in out if x.strip())
-
-
-def table_text(raw: str) -> str:
-    """Sheets of cells as a marker and tab-joined rows without trailing blanks, in tab order."""
-    sheets = sorted(json.loads(raw).get("sheets", []), key=lambda s: s.get("order", 0))
-    out = []
-    for sheet in sheets:
-        rows = ["\t".join("" if c is None else str(c) for c in row).rstrip("\t") for row in sheet.get("rows", [])]
-        while rows and not rows[-1].strip():
-            rows.pop()
-        if rows:
-            out.append(f"## 工作表: {sheet.get('name', '')}\n" + "\n".join(rows))
-    return "\n\n".join(out)
-
-
-def note_xml_text(raw: str) -> str:
-    """Text of a note's XML, one line for each paragraph; tags are cut away if it does not parse."""
-    try:
-        root = ElementTree.fromstring(raw)
-    except ElementTree.ParseError:
-        return normalize(re.sub(r"<[^>]*>", "\n", raw))
-    lines = ["".join(e.itertext()).strip() for e in root.iter() if _name(e) in ("para", "text", "p")]
-    return normalize("\n".join(x for x in lines if x) or "".join(root.itertext()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions.html import extract as html
 from lorewell.operators import models
-from lorewell.sources import extract, parameters, sinks
+from lorewell.sources import extract, notes, pages, parameters, sinks
 
 
 def office(**parts):
@@ -45,22 +45,74 @@ def test_formats():
 
 
 def test_html():
-    assert html("<p>a <b>b</b></p><script>no</script><div>c<br>d</div>&amp;") == "a b\nc\nd\n&"
+    assert html("<p>a <b>b</b></p><script>no</script><div>c<br>d</div>&amp;") == "a b\nc\nd &"
+    assert html("<p>a</p>b<table><tr><td>x</td><td>y</td></tr></table><style>p</style>") == "a b\nx y"
+    assert html("<html><head><script>bad()</script><style>.x{}</style></head><body><h1>标题</h1><p>正文内容</p></body></html>") == "标题\n正文内容"
     assert html(None) is None and html("") == ""
 
 
-def test_notes():
-    assert extract.note_markdown('[{"type":"heading","level":2,"text":"T"},{"type":"list","text":"x"},{"type":"para","children":[{"text":"a"},{"text":"b"}]},{"type":"attachment","name":"f.pdf"}]') == "## T\n\n- x\n\nab\n\n[f.pdf]"
-    assert extract.table_text('{"sheets":[{"name":"B","order":2,"rows":[["x",null]]},{"name":"A","order":1,"rows":[[1,"y",""],["",""]]}]}') == "## 工作表: A\n1\ty\n\n## 工作表: B\nx"
-    assert extract.note_xml_text("<n><para><text>a</text></para></n>").startswith("a") and extract.note_xml_text("<p>a<b>") == "a"
+def test_editor_notes():
+    raw = '{"5":[{"4":{"l":"h1"},"5":[{"7":[{"8":"标题"}]}],"6":"h"},{"4":{"l":"h3"},"5":[{"7":[{"8":"小节"}]}],"6":"h"},{"4":{"lt":"unordered"},"5":[{"7":[{"8":"条目一"}]}],"6":"l"},{"4":{"lt":"ordered"},"5":[{"7":[{"8":"二"}]}],"6":"l"},{"5":[{"7":[{"8":" 正文"},{"8":"一段"}]}],"6":"p"},{"4":{"fn":"说明.pdf"},"6":"a"},{"6":"h"}]}'
+    assert notes.note_markdown(raw) == "# 标题\n\n### 小节\n\n- 条目一\n\n1. 二\n\n正文一段\n\n- 附件：说明.pdf"
+    assert notes.note_markdown('[{"5":[{"8":"x"}]}, "y"]') == "x\n\ny"
+    deep = '{"5":[{"5":' + '[{"7":' * 300 + '[{"8":"deep"}]' + "}]" * 300 + "}]}"
+    assert notes.note_markdown(deep) == "deep"
+    for bad in ("{", "{}", '{"5":[]}', "[" * 100_000):
+        with pytest.raises(notes.NoteError):
+            notes.note_markdown(bad)
+
+
+def test_table_notes():
+    raw = '{"type":"http://sharejs.org/types/JSONv0","data":{"tabs":["1","0","9"],"sheets":{"0":{"title":"工作表1","rows":[0,1,2],"cols":[0,1,2],"cells":{"0,0":{"0":"日期"},"0,1":{"0":"板块"},"0,2":{"0":"涨幅"},"2,0":{"0":"7号"},"2,2":{"0":-0.0217}}},"1":{"title":"B","rows":[0],"cols":[0,1],"cells":{"0,0":{"0":2.0},"0,1":{"0":true}}},"2":{"rows":[0],"cols":[0],"cells":{"0,0":{"0":"a\\tb"}}},"3":{"rows":[],"cols":[],"cells":{}}}}}'
+    assert notes.is_table(raw) and not notes.is_table("[]") and not notes.is_table("{") and notes.is_table('{"type":"x/JSONv0"}')
+    assert notes.table_text(raw) == "## B\n\n2\ttrue\n\n## 工作表1\n\n日期\t板块\t涨幅\n7号\t\t-0.0217\n\na b"
+    for bad in ("{}", '{"data":{"sheets":{}}}', '{"data":{"sheets":{"0":{}}}}'):
+        with pytest.raises(notes.NoteError):
+            notes.table_text(bad)
+
+
+def test_note_payloads():
+    assert notes.note_xml_text("<note><para><text>a</text><x><text>b &amp;amp; c</text></x></para></note>") == "a\n\nb & c"
+    assert notes.note_xml_text("<note><text>a</text><text>b&amp;</text>") == "a\n\nb&"
+    assert notes.payload_text("t", 0, '{"5":[{"5":[{"8":"x"}]}]}') == "x" and notes.payload_text("t", 1, "# md") == "# md"
+    assert notes.payload_text("t.lxtable", 0, '{"data":{"sheets":{"0":{"rows":[0],"cols":[0],"cells":{"0,0":{"0":"v"}}}}}}') == "v"
+    assert notes.payload_text("t", 1, " ", fetched="file") == "file"
+    for bad in ("<note></note>", "<note><text>请升级后用新版编辑器</text></note>"):
+        with pytest.raises(notes.NoteError):
+            notes.payload_text("t", 0, bad)
+    assert notes.is_note_host("Share.note.youdao.com:443") and notes.is_note_host("x.note.youdao.cn") and not notes.is_note_host("note.youdao.com.example")
+    assert notes.title_extension(" A.PDF ") == ".pdf" and notes.title_extension("t.lxtable") == "" and notes.is_binary_extension(".Docx") and not notes.is_binary_extension(".md")
+    assert notes.disposition_name("attachment; filename=\"a b.pdf\"; x=1") == "a b.pdf" and notes.disposition_name("attachment; filename*=UTF-8''%E4%B8%AD.md; filename=x") == "中.md" and notes.disposition_name("inline") == ""
+
+
+def test_pdf_pages():
+    page = pages.Page
+    assert pages.read(["a\x01", page("", pages.IMAGE), "c"], "f.pdf") == "## 第 1 页\n\na\n\n## 第 3 页\n\nc"
+    assert pages.read(["a", page("", pages.IMAGE), page("", pages.DEGRADED)], "f", by_page=lambda k: f"<|ref|>x<|/ref|>seen {k}") == "## 第 1 页\n\na\n\n## 第 2 页\n\nseen 2"
+    assert pages.read([page("", pages.IMAGE), page("", pages.EMPTY)], "f", whole=lambda ks: f"all {ks}") == "## 第 1 页\n\nall [1, 2]"
+    assert pages.read(["\ue001" * 50, "ok"], "f", by_page=lambda k: f"page {k}") == "## 第 1 页\n\npage 1\n\n## 第 2 页\n\npage 2"
+    for bad in ([], [""], [page("", pages.DEGRADED)], ["\ue001" * 50]):
+        with pytest.raises(ValueError):
+            pages.read(bad, "f.pdf")
+    assert pages.garbled("Ýþ" * 60, "/中文.pdf") and not pages.garbled("Ýþ" * 60, "/plain.pdf") and not pages.garbled("正文" * 60, "/中文.pdf")
+    data = b"x UniGB-UTF16-H y UniKS-UTF16-V"
+    assert pages.with_known_cmaps(data) == b"x UniGB-UCS2-H  y UniKS-UCS2-V " and len(pages.with_known_cmaps(data)) == len(data)
+    assert pages.mime("a.PNG", b"") == "image/png" and pages.mime("a", b"%PDF-1") == "application/pdf" and pages.mime("a", b"GIF89a") == "image/gif" and pages.mime("a", b"?") == "application/octet-stream"
 
 
 def test_read_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("# T\r\nx")
     (tmp_path / "b.docx").write_bytes(DOCX)
     (tmp_path / "c.bin").write_bytes(b"\0" * 10)
+    (tmp_path / "d.xlsx").write_bytes(office(**{"xl/workbook.xml": '<w xmlns:r="r"><sheet name="S" r:id="r1"/></w>', "xl/_rels/workbook.xml.rels": '<x><R Id="r1" Target="s.xml"/></x>', "xl/s.xml": '<w><row><c t="s"><v>9</v></c></row></w>'}))
+    (tmp_path / "e.docx").write_bytes(office(**{"word/document.xml": "<d>" + "<p>" * 20_000 + "<t>deep</t>" + "</p>" * 20_000 + "</d>"}))
+    (tmp_path / "f.docx").write_bytes(office(**{"word/document.xml": "<d><p>"}))
     rows = {r.path.rsplit("/", 1)[1]: r for r in extract.read_files(spark, str(tmp_path)).collect()}
     assert rows["a.md"].text == "# T\nx" and rows["b.docx"].format == "docx" and rows["c.bin"].error and rows["c.bin"].text is None
+    assert rows["d.xlsx"].text.endswith("9") and rows["e.docx"].text == "deep" and rows["f.docx"].error.startswith("ParseError")
+    (tmp_path / "g").write_text("plain")
+    kinds = F.when(F.col("path").endswith("/g"), "text/plain").otherwise("")
+    assert {r.path.rsplit("/", 1)[1]: r.format for r in extract.read_files(spark, str(tmp_path), content_type=kinds).collect()}["g"] == "text"
 
 
 def test_parameters():
