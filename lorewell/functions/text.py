@@ -158,6 +158,11 @@ def canonical_id(c: Column) -> Column:
     return F.when(n.rlike(r"\A[0-9]{1,18}\z") & ~n.rlike(r"\A0+\z"), F.regexp_replace(n, r"\A0+", ""))
 
 
+def leading_digits(c: Column) -> Column:
+    """The number that a text begins with; 0 if it begins with none, or one that is too large."""
+    return F.coalesce(F.regexp_extract(c, r"\A([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def query_key(c: Column) -> Column:
     """What two questions have in common if they differ in case and spaces only."""
     return F.lower(F.regexp_replace(trim_ws(c), _SPACES, " "))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lorewell.sources.shared import cut_lineage
 
 DEFAULT_LIMIT = 5
 
@@ -27,36 +30,100 @@ def documents_where(df: DataFrame, **equal: object) -> DataFrame:
     return df
 
 
+def since_midnight(ts: Column, now: Column) -> Column:
+    """Whether a UTC time is on the local day of `now`, or later."""
+    return shanghai(ts) >= F.date_trunc("day", shanghai(now))
+
+
+def quota(used: DataFrame, tenants: DataFrame, limit: Column, kind: str) -> DataFrame:
+    """(tenant_id, kind, used, max, rejected, remaining) of every tenant, from counts (tenant_id, used)."""
+    rows = tenants.select(F.col("id").alias("tenant_id"), effective_limit(limit).cast("bigint").alias("max")).join(used, "tenant_id", "left")
+    count = F.coalesce("used", F.lit(0).cast("bigint"))
+    return rows.select("tenant_id", F.lit(kind).alias("kind"), count.alias("used"), "max", (count >= F.col("max")).alias("rejected"), F.greatest(F.lit(0).cast("bigint"), F.col("max") - count).alias("remaining"))
+
+
+def get_or_create(existing: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The existing rows, and those wanted whose keys none of them has; columns that are missing are null."""
+    fresh = wanted.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    return existing.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True)), allowMissingColumns=True)
+
+
+def insert(existing: DataFrame, rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The table with the rows whose keys are new, as one new snapshot; and the rows that repeat a key."""
+    first = Window.partitionBy(*keys).orderBy(*([c for c in rows.columns if c not in keys] or keys))
+    numbered = rows.withColumn("_n", F.row_number().over(first))
+    fresh = numbered.where("_n = 1").drop("_n").join(existing.select(*keys), list(keys), "left_anti")
+    repeated = numbered.join(existing.select(*keys, F.lit(True).alias("_old")).distinct(), list(keys), "left").where("_n > 1 OR _old").drop("_n", "_old")
+    return existing.unionByName(fresh, allowMissingColumns=True), repeated
+
+
+def backfill(sessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """Sessions as asked for: those there keep what they have and take a base of 0, a missing directory and an empty title from the request."""
+    new = asked.select("session_id", *(F.col(c).alias(f"_{c}") for c in ("tenant_id", "user_id", "knowledge_base_id", "directory_id", "title")))
+    return sessions.join(new, "session_id", "full").select(
+        "session_id", F.coalesce("tenant_id", "_tenant_id").alias("tenant_id"), F.coalesce("user_id", "_user_id").alias("user_id"),
+        F.coalesce(F.nullif("knowledge_base_id", F.lit(0)), "_knowledge_base_id", "knowledge_base_id").alias("knowledge_base_id"),
+        F.coalesce("directory_id", "_directory_id").alias("directory_id"), F.coalesce(F.nullif("title", F.lit("")), "_title", "title").alias("title"),
+    )
+
+
+def cascade(documents: DataFrame, gone: DataFrame, **dependents: tuple[DataFrame, str]) -> dict[str, DataFrame]:
+    """New snapshots of the documents and of each dependent table (name = (table, its document column)) without `gone` (id).
+
+    A document that is being indexed is not deleted, nor is what depends on it.
+    """
+    sure = gone.select("id").join(documents.where("status <> 'indexing'").select("id"), "id", "left_semi")
+    out = {"documents": documents.join(sure, "id", "left_anti")}
+    for name, (table, column) in dependents.items():
+        keys = sure.select(F.col("id").cast(table.schema[column].dataType).alias(column))
+        out[name] = table.join(keys, column, "left_anti")
+    return out
+
+
+def reclaim(active: DataFrame, queued: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, attempt): what a restarted queue holds, each document once.
+
+    Jobs that were being worked on go back with their attempt, before those that
+    waited; documents that the tables say are pending or indexing are added.
+    """
+    jobs = active.select("doc_id", "attempt", F.lit(0).alias("part")).unionByName(queued.select("doc_id", "attempt", F.lit(1).alias("part")))
+    left = documents.where(F.col("status").isin("pending", "indexing")).select(F.col("id").alias("doc_id"), F.lit(1).alias("attempt"), F.lit(2).alias("part"))
+    every = jobs.unionByName(left).where("doc_id > 0")
+    return every.groupBy("doc_id").agg(F.min_by("attempt", F.struct("part", "attempt")).alias("attempt"))
+
+
 def shanghai(ts: Column) -> Column:
     """Local wall time of a UTC time without zone."""
     return F.from_utc_timestamp(ts.cast("timestamp"), "Asia/Shanghai")
 
 
-def descendants(directories: DataFrame, roots: DataFrame, check_every: int = 64) -> DataFrame:
-    """(root, id, depth) of each root and all below it.
+def descendants(directories: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, depth) of each root and all below it, at any depth.
 
-    The frontier is joined level by level, one equi-join each, until it is empty;
-    a level is an aggregate count on the driver, never its rows. A directory has
-    one parent, so only a cycle meets a (root, id) again: that is looked for every
-    `check_every` levels, and is an error.
+    Steps double: what is found down to depth 2^k, joined with every directory's
+    ancestor 2^k levels up, is what lies 2^k levels deeper. A tree of depth d takes
+    log2(d) rounds of two equi-joins; each round is cut off to the shared folder,
+    and only counts reach the driver. A root in a cycle never ends: steps beyond
+    the number of directories are an error.
     """
-    edges = directories.select(F.col("id").alias("child"), F.col("parent_id").alias("at")).where("at IS NOT NULL")
-    level = directories.join(roots.select(F.col("id").alias("root")), F.col("id") == F.col("root"), "left_semi").select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("depth"))
-    spark = directories.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    found = level
-    depth = 0
+    up = directories.where("parent_id IS NOT NULL").select(F.col("id").alias("child"), F.col("parent_id").alias("above"))
+    found = directories.join(roots.select(F.col("id").alias("root")), F.col("id") == F.col("root"), "left_semi").select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("depth"))
+    all_of_them, known, step = directories.count(), 0, 1
     while True:
-        depth += 1
-        level = level.join(edges, F.col("id") == F.col("at")).select("root", F.col("child").alias("id"), F.lit(depth).cast("long").alias("depth")).persist()
-        if level.isEmpty():
+        deeper = found.join(up, F.col("id") == F.col("above")).select("root", F.col("child").alias("id"), (F.col("depth") + step).alias("depth"))
+        found = cut_lineage(found.union(deeper).coalesce(_parts(directories)))
+        before, known = known, found.count()
+        if known == before:
             return found
-        if depth % check_every == 0 and not level.join(found.select("root", "id"), ["root", "id"], "left_semi").isEmpty():
+        if step > all_of_them:
             raise ValueError("directories form a cycle")
-        if depth % 4 == 0:
-            level = level.checkpoint()  # a plan doubles with each kept level under it
-        found = found.union(level)
+        middle = up.select(F.col("child").alias("middle"), F.col("above").alias("top"))
+        up = cut_lineage(up.join(middle, F.col("above") == F.col("middle")).select("child", F.col("top").alias("above")).coalesce(_parts(directories)))
+        step *= 2
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def index_build_dedup(builds: DataFrame, seconds: int = 2) -> DataFrame:

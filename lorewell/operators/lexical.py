@@ -2,35 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorewell.functions.text import tokenize
 
 
+def _body(chunks: DataFrame) -> Column:
+    """What is indexed: the title, where there is one, and the content."""
+    return F.concat_ws("\n", "title", "content") if "title" in chunks.columns else F.col("content")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(doc_id, term, tf, length) of every term; length is the chunk's number of terms."""
-    terms = chunks.select("doc_id", tokenize(F.col("content")).alias("terms")).select("doc_id", F.size("terms").cast("bigint").alias("length"), F.explode("terms").alias("term"))
-    return terms.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    terms = chunks.select("doc_id", tokenize(_body(chunks)).alias("terms"))
+    # an outer explode: a filter for empty arrays would tokenise every text again
+    rows = terms.select("doc_id", F.size("terms").cast("bigint").alias("length"), F.explode_outer("terms").alias("term"))
+    return rows.where("term IS NOT NULL").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best chunks of each question (query_id, query), any term counts.
 
-    The questions' terms are joined before term frequencies are summed, so only
-    postings that can score are shuffled; statistics are one row.
+    One pass reads and tokenises the chunks: it keeps the terms that some question
+    has, and an empty term for each chunk that carries its length. Term
+    frequencies, document frequencies and the mean length all come from the sums of
+    that pass, whose shuffle is made once and read by each.
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    terms = chunks.select("doc_id", tokenize(F.col("content")).alias("terms"))
-    stats = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    rows = terms.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(wanted, "term")
+    wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    terms = chunks.select("doc_id", F.concat(F.array(F.lit("")), tokenize(_body(chunks))).alias("terms"))
+    rows = terms.select("doc_id", (F.size("terms") - 1).alias("length"), F.explode_outer("terms").alias("term")).join(F.broadcast(wanted), "term")  # terms of the questions
+    # every use reads the same columns and rows, so that the exchange below is shared
     tf = rows.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    sums = tf.groupBy("term").agg(F.count("tf").alias("df"), F.avg("length").alias("mean"))
+    stats = sums.agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"), F.max(F.when(F.col("term") == "", F.col("mean"))).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", part.alias("part"))  # stats is one row
+    weighed = tf.join(sums.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", part.alias("part"))  # stats is one row
     scored = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -44,11 +45,22 @@ class HashEmbedder:
 
 
 class OverlapReranker:
-    """Scores a text by how many of the query's words it has."""
+    """Scores a text by how many of the query's words, runs of letters and digits, it has."""
 
     def rerank(self, query: str, texts: list[str]) -> list[float]:
-        words = set(query.lower().split())
-        return [float(len(words & set(t.lower().split()))) for t in texts]
+        words = lambda t: set(regex.findall(r"[\p{L}\p{Nd}]+", t.lower()))
+        asked = words(query)
+        return [float(len(asked & words(t))) for t in texts]
+
+
+class HeadExpander:
+    """One variant: the first words of the question."""
+
+    def __init__(self, words: int = 6) -> None:
+        self.words = words
+
+    def expand(self, query: str, n: int) -> list[str]:
+        return [" ".join(query.split()[: self.words])][:n]
 
 
 class TailSummarizer:

@@ -1,37 +1,96 @@
-"""Exact nearest neighbours over float arrays."""
+"""Exact nearest neighbours over float arrays, as products of blocks in Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most question vectors that are broadcast at once.
-MAX_QUESTIONS = 10_000
+#: Question vectors that one pass compares; more take one pass for each block of so many.
+BLOCK = 4096
+#: Vectors that are compared at once.
+ROWS = 2048
 
 
-def _sum(a: Column, b: Column, f) -> Column:
-    return F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
+def scores(metric: str, rows: np.ndarray, questions: np.ndarray) -> np.ndarray:
+    """(rows, questions): larger is nearer. Cosine, inner product, or the negative Euclidean distance."""
+    if metric == "l2":
+        square = (rows * rows).sum(1)[:, None] + (questions * questions).sum(1)[None, :] - 2 * (rows @ questions.T)
+        near = np.argwhere(square < 1e-6 * ((rows * rows).sum(1)[:, None] + 1))  # where the difference of squares says little
+        for i, j in near:
+            square[i, j] = ((rows[i] - questions[j]) ** 2).sum()
+        return 0.0 - np.sqrt(np.maximum(square, 0.0))
+    if metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rows, questions = (x / np.sqrt((x * x).sum(1))[:, None] for x in (rows, questions))
+    return rows @ questions.T
 
 
-def distance(metric: str, a: Column, b: Column) -> Column:
-    """Larger is nearer: cosine, inner product, or the negative Euclidean distance."""
-    dot = _sum(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    if metric == "ip":
-        return dot
-    if metric == "l2":
-        return 0.0 - F.sqrt(_sum(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))
-    return dot / (F.sqrt(_sum(a, a, lambda x, y: x.cast("double") * y.cast("double"))) * F.sqrt(_sum(b, b, lambda x, y: x.cast("double") * y.cast("double"))))
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """float64 rows; a null or a vector of another length is all NaN."""
+    out = np.full((len(column), size), np.nan)
+    sizes = np.array([-1 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()])
+    good = np.flatnonzero(sizes == size)
+    if len(good) == len(column):
+        out[:] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    else:
+        for k in good:
+            out[k] = column[int(k)].as_py()
+    return out
 
 
 def nearest(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(query_id, doc_id, score, rank): the k nearest of `vectors` (doc_id, vec) for each question (query_id, qvec).
 
-    The questions are a stated set of bounded size, compared with all rows in
-    place; each task keeps its k best before the shuffle.
+    The questions are a stated set, compared with all rows in place: a block of
+    them is broadcast and multiplied with each batch, which sends on its k best for
+    each question only. A vector without a comparable length is never near.
     """
-    if questions.limit(MAX_QUESTIONS + 1).count() > MAX_QUESTIONS:
-        raise ValueError(f"more than {MAX_QUESTIONS} question vectors: search in blocks")
-    scored = vectors.crossJoin(F.broadcast(questions)).select("query_id", "doc_id", F.round(distance(metric, F.col("qvec"), F.col("vec")), 6).alias("score"))
+    n = questions.count()
+    ordered = questions.select("query_id", "qvec").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK)))))
+    kind = questions.schema["query_id"].dataType.simpleString()
+    id_kind = vectors.schema["doc_id"].dataType.simpleString()
+    parts = []
+    for block in range(max(1, -(-n // BLOCK))):
+        found = ordered.where(F.col("_block") == block).select("query_id", "qvec").collect()  # about BLOCK rows
+        found = [r for r in found if r.qvec]
+        for size in sorted({len(r.qvec) for r in found}):
+            own = [r for r in found if len(r.qvec) == size]
+            parts.append(_pass(vectors, [r.query_id for r in own], np.array([r.qvec for r in own], np.float64), k, metric, f"query_id {kind}, doc_id {id_kind}, score double"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, doc_id {id_kind}, score double, rank bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _pass(vectors: DataFrame, ids: list, asked: np.ndarray, k: int, metric: str, schema: str) -> DataFrame:
+    spread = vectors.sparkSession.sparkContext.broadcast((ids, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = spread.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                rows = _matrix(part.column("vec"), matrix.shape[1])
+                value = np.round(scores(metric, rows, matrix), 6)
+                value = np.where(np.isnan(value), -np.inf, value)
+                doc = part.column("doc_id").to_numpy(zero_copy_only=False)
+                out: list[tuple[np.ndarray, np.ndarray]] = []
+                for q in range(len(names)):
+                    own = value[:, q]
+                    best = np.flatnonzero(np.isfinite(own))
+                    if len(best) > k:  # and what ties with the last of them
+                        best = best[own[best] >= np.partition(own[best], len(best) - k)[len(best) - k]]
+                    out.append((np.full(len(best), q), best))
+                which, at = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in which], batch_kind(names)), pa.array(doc[at]), pa.array(value[at, which])], ["query_id", "doc_id", "score"])
+
+    def batch_kind(names: list) -> pa.DataType | None:
+        return pa.int64() if names and isinstance(names[0], int) else None
+
+    return vectors.select("doc_id", "vec").mapInArrow(run, schema)

@@ -76,10 +76,10 @@ def directory_tree(t):
     return tree.orderBy("depth", "sort_order", "id").select("id", "name", "depth", "root", F.coalesce("children", F.lit(0).cast(BIG)).alias("children"))
 
 
-@query("directory_move_check", q(_TREE.format(root=3) + "SELECT d.id AS target, d.id NOT IN (SELECT id FROM tree) AS allowed FROM directories d WHERE d.id <= 40", "directories"))
+@query("directory_move_check", q(_TREE.format(root=3) + "SELECT d.id AS target, d.id NOT IN (SELECT id FROM tree) AS allowed FROM directories d", "directories"))
 def directory_move_check(t):
     below = catalog.descendants(t("directories"), t("directories").where("id = 3")).select(F.col("id").alias("inside"))
-    targets = t("directories").where("id <= 40").select(F.col("id").alias("target"))
+    targets = t("directories").select(F.col("id").alias("target"))
     return targets.join(below, F.col("target") == F.col("inside"), "left").select("target", F.col("inside").isNull().alias("allowed"))
 
 
@@ -136,12 +136,12 @@ def upload_limits(t):
     return rows.select("id", limit.alias("max_files"), "used_files", F.least(limit, F.nullif(system, F.lit(0))).alias("size_limit"), (F.col("used_files") + 1 > limit).alias("full"))
 
 
-@query("entity_counts", q("SELECT d.id, (SELECT count(*) FROM directories c WHERE c.parent_id = d.id) AS children, (SELECT count(*) FROM kb_documents k WHERE k.directory_id = d.id) AS documents FROM directories d WHERE d.id <= 250", "directories", "kb_documents"))
+@query("entity_counts", q("SELECT d.id, (SELECT count(*) FROM directories c WHERE c.parent_id = d.id) AS children, (SELECT count(*) FROM kb_documents k WHERE k.directory_id = d.id) AS documents FROM directories d", "directories", "kb_documents"))
 def entity_counts(t):
     dirs = t("directories")
     children = dirs.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
     docs = t("kb_documents").where("directory_id IS NOT NULL").groupBy(F.col("directory_id").alias("id")).agg(F.count("*").alias("documents"))
-    return dirs.where("id <= 250").select("id").join(children, "id", "left").join(docs, "id", "left").fillna(0)
+    return dirs.select("id").join(children, "id", "left").join(docs, "id", "left").fillna(0)
 
 
 @query("kbs_by_user", q("SELECT id, name FROM knowledge_bases WHERE tenant_id = 2 ORDER BY id DESC", "knowledge_bases"))

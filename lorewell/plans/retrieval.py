@@ -1,11 +1,11 @@
 """Queries: lexical and dense search, fusion, golden evaluation, the flagship retrieval."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lorewell.functions.text import query_key, tokenize
-from lorewell.operators import fusion, lexical, quality, vectors
+from lorewell.operators import fusion, lexical, models, quality, retrieval, vectors
 from lorewell.plans.registry import query
+from lorewell.sources.parameters import Parameters
 
 _TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{Nd}}]+')"
 _BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format(c="text")}[1:12])) AS term FROM benchmark),
@@ -20,7 +20,7 @@ _METRIC = {
     "ip": _DOT.format(a="q.embedding", b="e.embedding"),
     "l2": "0 - sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(q.embedding[i] AS DOUBLE) - e.embedding[i], 2))))",
 }
-_DENSE = "dn AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({metric}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({metric}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id < 20) WHERE rank <= {k})"
+_DENSE = "dn AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({metric}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({metric}, 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= {k})"
 
 
 def questions(t):
@@ -33,8 +33,9 @@ def corpus(t):
 
 
 def dense(t, k, metric="cosine"):
+    """Every vector whose id is divisible by 100, in blocks against all."""
     e = t("embeddings")
-    return vectors.nearest(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), k, metric)
+    return vectors.nearest(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), k, metric)
 
 
 @query("tokenize_corpus", f"SELECT doc_id, len({_TOK.format(c='text')}) AS n_terms, len(list_distinct({_TOK.format(c='text')})) AS n_distinct FROM documents")
@@ -68,16 +69,20 @@ _FUSE = "SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS sc
 _RANKED = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS rank FROM ({fused})"
 
 
-@query("rrf_hybrid", "WITH " + _BM25.replace("@K", "20") + ", " + _DENSE.format(metric=_METRIC["cosine"], k=20) + ", s20 AS (SELECT * FROM bm WHERE query_id < 20 AND query_id % 7 <> 3), f AS (" + _RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM dn UNION ALL SELECT query_id, doc_id, rank FROM s20")) + ") SELECT * FROM (SELECT * FROM f WHERE query_id IN (SELECT query_id FROM s20) UNION ALL SELECT * FROM dn WHERE query_id NOT IN (SELECT query_id FROM s20)) WHERE rank <= 5")
+_LISTS = "WITH " + _BM25.replace("@K", "20") + ", " + _DENSE.format(metric=_METRIC["cosine"], k=20) + ", ds AS (SELECT query_id // 100 AS query_id, doc_id, score, rank FROM dn)"
+
+
+@query("rrf_hybrid", _LISTS + ", f AS (" + _RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM ds UNION ALL SELECT query_id, doc_id, rank FROM bm")) + ") SELECT * FROM (SELECT * FROM f WHERE query_id IN (SELECT query_id FROM bm) UNION ALL SELECT * FROM ds WHERE query_id NOT IN (SELECT query_id FROM bm)) WHERE rank <= 5")
 def rrf_hybrid(t):
-    asked = questions(t).where("query_id < 20 AND query_id % 7 <> 3")  # some questions have no sparse list
-    return fusion.hybrid(dense(t, 20), lexical.search(corpus(t), asked, 20), 60, 5)
+    """Vector 100 q and benchmark item q ask the same question q; beyond the benchmark there is no sparse list."""
+    found = dense(t, 20).withColumn("query_id", F.floor(F.col("query_id") / 100))
+    return fusion.hybrid(found, lexical.search(corpus(t), questions(t), 20), 60, 5)
 
 
-@query("rrf_multi_query", "WITH " + _BM25.replace("@K", "20") + ", v AS (SELECT query_id % 10 AS query_id, query_id AS variant, doc_id, rank FROM bm WHERE query_id < 30) SELECT * FROM (" + _RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM v")) + ") WHERE rank <= 5")
+@query("rrf_multi_query", "WITH " + _BM25.replace("@K", "20") + ", v AS (SELECT query_id % 10 AS query_id, query_id AS variant, doc_id, rank FROM bm) SELECT * FROM (" + _RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM v")) + ") WHERE rank <= 5")
 def rrf_multi_query(t):
-    found = lexical.search(corpus(t), questions(t).where("query_id < 30"), 20)  # three variants of ten questions
-    return fusion.rrf([found.withColumn("query_id", F.col("query_id") % 10)], 60, 5)
+    """Items of the same last digit are variants of one question."""
+    return fusion.rrf([lexical.search(corpus(t), questions(t), 20).withColumn("query_id", F.col("query_id") % 10)], 60, 5)
 
 
 _CASES = "c AS (SELECT bm.query_id AS case_id, bm.rank, contains(d.text, b.text) AS ok FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id)"
@@ -100,37 +105,51 @@ def golden_eval(t):
     return case_scores(t).agg(F.count("*").alias("cases"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-@query("golden_match", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query("golden_match", "SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def golden_match(t):
-    """Texts that contain an item share its first four words as a run; only those are compared."""
-    head = lambda w: F.xxhash64(F.slice(w, 1, 4))
-    items = t("benchmark").select("item_id", F.col("text").alias("item"), head(tokenize(F.col("text"))).alias("run"))
-    runs = t("documents").select("doc_id", "text", tokenize(F.col("text")).alias("w")).where("size(w) >= 4")
-    runs = runs.select("doc_id", "text", F.explode(F.array_distinct(F.expr("transform(array(w), w -> transform(sequence(1, size(w) - 3), i -> xxhash64(slice(w, i, 4))))[0]"))).alias("run"))
-    return runs.join(F.broadcast(items) if items.count() <= 100_000 else items, "run").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
+    """Documents that contain an item's text; an item without text has no criterion."""
+    items = t("benchmark").select("item_id", F.col("text").alias("item"))
+    return quality.containing(t("documents").select("doc_id", F.col("text").alias("content")), items.withColumnRenamed("item_id", "case_id")).select(F.col("case_id").alias("item_id"), "doc_id")
 
 
-def _overlap(terms, query_terms):
-    return F.size(F.array_intersect(terms, query_terms)).cast("bigint")
+_SHARED = "len(list_intersect(list_distinct({a}), list_distinct({b})))"
+_OVERLAP = _SHARED.format(a=_TOK.format(c="d.text"), b=_TOK.format(c="b.text") + "[1:12]")
 
 
-@query("rerank_overlap", "WITH " + _BM25.replace("@K", "20") + f", r AS (SELECT bm.query_id, bm.doc_id, bm.rank AS old, len(list_intersect(list_distinct({_TOK.format(c='d.text')}), list_distinct({_TOK.format(c='b.text')}[1:12]))) AS overlap FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id) SELECT query_id, doc_id, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, old) AS rank FROM r) WHERE rank <= 5")
+@query("rerank_overlap", "WITH " + _BM25.replace("@K", "20") + f", r AS (SELECT bm.query_id, bm.doc_id, bm.rank AS old, CAST({_OVERLAP} AS DOUBLE) AS score FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM r) WHERE rank <= 5")
 def rerank_overlap(t):
-    pool = lexical.search(corpus(t), questions(t), 20).withColumnRenamed("rank", "old")
-    asked = questions(t).select("query_id", tokenize(F.col("query")).alias("asked"))
-    scored = pool.join(corpus(t), "doc_id").join(asked, "query_id").select("query_id", "doc_id", "old", _overlap(tokenize(F.col("content")), F.col("asked")).alias("overlap"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "old")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5").select("query_id", "doc_id", "overlap", "rank")
+    pool = lexical.search(corpus(t), questions(t), 20).join(corpus(t).withColumnRenamed("content", "text"), "doc_id").join(questions(t), "query_id")
+    return retrieval.rerank(pool, models.OverlapReranker(), 5)
 
 
-@query("retrieve_flagship", "WITH " + _BM25.replace("@K", "20") + f", p AS (SELECT bm.query_id, bm.doc_id, bm.rank AS old, d.text, len(list_intersect(list_distinct({_TOK.format(c='d.text')}), list_distinct({_TOK.format(c='b.text')}[1:12]))) AS overlap FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id WHERE d.lang = 'en') SELECT query_id, doc_id, rank, left(text, 40) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, old) AS rank FROM p) WHERE rank <= 3")
+_FLAGSHIP = f"""WITH c AS (SELECT doc_id, concat_ws(chr(10), source, text) AS body FROM documents WHERE lang = 'en'),
+ q AS (SELECT item_id * 2 + v AS query_id, unnest(list_distinct({_TOK.format(c="text")}[1:if(v = 0, 12, 6)])) AS term FROM benchmark, range(2) r(v)),
+ d AS (SELECT doc_id, {_TOK.format(c="body")} AS terms FROM c), s AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d),
+ tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM d) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2),
+ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 20),
+ dn AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round({_METRIC["cosine"]}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_METRIC["cosine"]}, 6) DESC, e.vec_id) AS rank FROM embeddings q JOIN benchmark b ON q.vec_id // 2 = b.item_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM c)) WHERE rank <= 20),
+ f AS ({_RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM dn UNION ALL SELECT query_id, doc_id, rank FROM bm"))}),
+ h AS (SELECT query_id // 2 AS query_id, query_id % 2 AS variant, doc_id, rank, score FROM (SELECT query_id, doc_id, rank, score FROM f WHERE query_id IN (SELECT query_id FROM bm) UNION ALL SELECT query_id, doc_id, rank, score FROM dn WHERE query_id NOT IN (SELECT query_id FROM bm)) WHERE rank <= 20),
+ k AS (SELECT query_id, count(DISTINCT variant) AS n FROM h GROUP BY 1),
+ g AS ({_RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM h JOIN k USING (query_id) WHERE n > 1"))}),
+ p AS (SELECT query_id, doc_id, rank FROM g UNION ALL SELECT query_id, doc_id, rank FROM h JOIN k USING (query_id) WHERE n = 1),
+ o AS (SELECT p.query_id, p.doc_id, p.rank AS old, CAST({_SHARED.format(a=_TOK.format(c="c.body"), b=_TOK.format(c="b.text") + "[1:12]")} AS DOUBLE) AS score FROM p JOIN c USING (doc_id) JOIN benchmark b ON b.item_id = p.query_id WHERE p.rank <= 20)
+ SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM o) WHERE rank <= 5"""
+
+
+@query("retrieve_flagship", _FLAGSHIP)
 def retrieve_flagship(t):
-    pool = lexical.search(corpus(t), questions(t), 20).withColumnRenamed("rank", "old")
-    asked = questions(t).select("query_id", tokenize(F.col("query")).alias("asked"))
-    texts = t("documents").where("lang = 'en'").select("doc_id", F.col("text").alias("content"))
-    scored = pool.join(texts, "doc_id").join(asked, "query_id").withColumn("overlap", _overlap(tokenize(F.col("content")), F.col("asked")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "old")
-    return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 3").select("query_id", "doc_id", "rank", F.left("content", F.lit(40)).alias("preview"))
+    """All of it: the chunks of a scope, each question and its variant, dense and lexical lists fused twice, reranked.
+
+    A document's source stands for its title, its language for its knowledge base;
+    vectors 2 q and 2 q + 1 are those of question q and its variant.
+    """
+    chunks = t("documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.col("lang").alias("kb_id"))
+    asked = retrieval.expand(questions(t), models.HeadExpander(6), 1)
+    e = t("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    own = e.select(F.floor(F.col("doc_id") / 2).alias("query_id"), F.pmod("doc_id", F.lit(2)).cast("int").alias("variant"), F.col("vec").alias("qvec")).join(questions(t).select("query_id"), "query_id", "left_semi")
+    return retrieval.retrieve(retrieval.scoped(chunks, kb="en"), asked, e, own, Parameters(), models.OverlapReranker())
 
 
 @query("expand_dedup_corpus", r"SELECT key, count(*) AS n FROM (SELECT lower(regexp_replace(trim(text), '\s+', ' ', 'g')) AS key FROM conversations) GROUP BY 1")

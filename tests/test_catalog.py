@@ -8,12 +8,24 @@ SCHEMA = "id long, parent_id long"
 
 
 def test_deep_tree_is_whole(spark):
-    tree = spark.createDataFrame([(k, k - 1 if k else None) for k in range(66)], SCHEMA).coalesce(1)
+    tree = spark.createDataFrame([(k, k - 1 if k else None) for k in range(1000)], SCHEMA)
     got = catalog.descendants(tree, tree.where("id = 0"))
-    assert got.agg({"id": "max", "depth": "max", "root": "count"}).first().asDict() == {"max(id)": 65, "max(depth)": 65, "count(root)": 66}
+    assert got.agg({"id": "max", "depth": "max", "root": "count"}).first().asDict() == {"max(id)": 999, "max(depth)": 999, "count(root)": 1000}
 
 
-def test_cycle_is_an_error(spark):
-    tree = spark.createDataFrame([(1, None), (2, 4), (3, 2), (4, 3)], SCHEMA)
+def test_roots_below_roots(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2), (5, 4), (9, None)], SCHEMA)
+    got = sorted(tuple(r) for r in catalog.descendants(tree, tree.where("id IN (1, 4, 9)")).collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 2), (1, 5, 3), (4, 4, 0), (4, 5, 1), (9, 9, 0)]
+
+
+def test_cycles(spark):
+    tree = spark.createDataFrame([(1, None), (2, 4), (3, 2), (4, 3), (5, 1)], SCHEMA)
     with pytest.raises(ValueError):
-        catalog.descendants(tree, tree.where("id = 2"), check_every=4)
+        catalog.descendants(tree, tree.where("id = 2"))
+    assert sorted(r.id for r in catalog.descendants(tree, tree.where("id = 1")).collect()) == [1, 5]
+
+
+def test_no_directories(spark):
+    tree = spark.createDataFrame([], SCHEMA)
+    assert catalog.descendants(tree, tree).collect() == []
