@@ -19,6 +19,7 @@ an empty table gives an empty result. Only text, lang and the id are read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,6 +54,8 @@ def _letters() -> np.ndarray:
         if chr(c).isalpha():
             low = chr(c).lower()
             table[c] = ord(low) if len(low) == 1 else c
+        elif unicodedata.category(chr(c))[0] == "M":
+            table[c] = c  # marks are parts of words
     table[0x20000:0x323B0] = np.arange(0x20000, 0x323B0)  # ideographs beyond the first planes
     _made["letters"] = table
     return table

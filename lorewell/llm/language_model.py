@@ -362,4 +362,4 @@ def model_scores(documents: DataFrame, train: Column, p: LanguageModelParams = L
 def op9_lm_score(spark: SparkSession, sf_dir: str, params: LanguageModelParams = LanguageModelParams()) -> DataFrame:
     """Scores all documents; rows with crc32(doc_id) mod 10 = 0 are held out of learning."""
     scored = model_scores(common.read_table(spark, sf_dir, "documents"), common.fold("doc_id", 10) != 0, params)
-    return scored.select("doc_id", (common.fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (common.fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("token_score"))

@@ -151,4 +151,5 @@ def op10_pii(spark: SparkSession, sf_dir: str, params: PiiParams = PiiParams())
     return found.select(
         "doc_id", *(F.size(f"_{k.name}").cast("long").alias(f"n_{k.name}") for k in base),
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(KINDS).alias("spans"),
+        sum((F.size(f"_{k.name}") for k in KINDS), F.lit(0)).cast("long").alias("n_spans"),
     )

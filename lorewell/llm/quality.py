@@ -15,7 +15,7 @@ leave. What no rule covers is kept.
 
 Edge cases: a null text has no words and fails the base rule, as does an empty
 one; labels that are null or of missing documents are not learnt from; several
-labels of a document count with the smallest; without labels of both kinds the
+labels of a document count with the smallest, and of rows with the same doc_id one; without labels of both kinds the
 list is empty and the base rule alone decides; repeated rows are judged each;
 empty tables give an empty result. Only doc_id and text are read.
 """
@@ -184,7 +184,9 @@ def fit(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParam
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_train_docs).select(F.col("doc_id").alias("k"), "quality")
     )
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k"))
-    found = [r for r in statistics(rows, "k", "quality").select("k", "quality", base_failed(), *FEATURES).collect() if not r[2]]
+    # a doc_id that repeats is learnt from once, so that rows are bounded as ids are
+    one = statistics(rows, "k", "quality").groupBy("k").agg(F.min(F.struct("quality", base_failed().alias("failed"), *FEATURES)).alias("row")).select("k", "row.*")
+    found = [r for r in one.collect() if not r[2]]
     found.sort(key=lambda r: (r.k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, *r[1:]))
     x = np.array([r[3:] for r in found], float).reshape(-1, len(FEATURES))
     return learn(x, np.array([r.quality == 0 for r in found], bool), p)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lorewell.llm import sql
 from lorewell.llm.decontaminate import op7_decontaminate
 from lorewell.llm.jaccard import op3_jaccard
 from lorewell.llm.language import op5_language
@@ -17,6 +19,23 @@ from lorewell.llm.quality import op8_quality
 from lorewell.llm.substrings import op4_substrings
 from lorewell.llm.toxicity import op2_toxicity
 
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the quality rules, without the learnt verdict."""
+    return op8_quality(spark, sf_dir).drop("kept")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of the language model's scores."""
+    return op9_lm_score(spark, sf_dir).withColumn("base_score", F.round("base_score", 3)).drop("score", "token_score")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds of personal data, without the method's own spans."""
+    return op10_pii(spark, sf_dir).drop("spans", "n_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -28,7 +47,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_lm_score": op9_lm_score,
     "op10_pii": op10_pii,
+    "quality_base": quality_base,
+    "lm_base": lm_base,
+    "pii_base": pii_base,
 }
 
 #: Learnt, sketched or searched results have no SQL form; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": sql.DECONTAMINATE, "quality_base": sql.QUALITY, "lm_base": sql.LM, "pii_base": sql.PII}

@@ -44,6 +44,8 @@ def test_fixture_table(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     good = [r.kept for r in rows if labels.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(good) > 0.97 * len(good)
+    poor = [r.kept for r in rows if labels.get(r.doc_id) == 0 and not r.base_failed]
+    assert len(poor) > 10 and sum(poor) < 0.2 * len(poor)  # the learnt list drops what the base rule lets pass
 
 
 def test_learns_conjunctions():
