@@ -83,7 +83,8 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     two = padded[:-1] << _BITS | padded[1:]
     three = two[:-1] << _BITS | padded[2:]
     inner = word[1:-1]  # a trigram around a space spans two words
-    return np.concatenate([text[word], text[1:], text[1:-1][inner]]), np.concatenate([padded[word], two, three[inner]])
+    pair = np.where(word[1:], text[1:], text[:-1])  # a pair is its letter's, also where the space is the next text's
+    return np.concatenate([text[word], pair, text[1:-1][inner]]), np.concatenate([padded[word], two, three[inner]])
 
 
 def _top(codes: np.ndarray, size: int) -> np.ndarray:

@@ -111,12 +111,14 @@ def _score(k: Kind, p: PiiParams) -> str:
 
 
 def find_pii(documents: DataFrame, params: PiiParams = PiiParams(), text: str = "text") -> DataFrame:
-    """All columns, and for each kind k an array `_k` of (start, end, value, score)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    cut = documents.select("*", *(c.alias(f"{a}_{k.name}") for k in KINDS for a, c in zip(("_p", "_m"), _cut(k, body))))
-    found = cut.select(*documents.columns, *(_spans(k, params).alias(f"_{k.name}") for k in KINDS))
+    """All columns, and for each kind k an array `_k` of (start, end, value, score); underscores are added where that name is taken."""
+    plain, names = common.renamed(documents)
+    body = F.coalesce(F.col(names[documents.columns.index(text)]), F.lit(""))
+    cut = plain.select("*", *(c.alias(f"{a}_{k.name}") for k in KINDS for a, c in zip(("_p", "_m"), _cut(k, body))))
+    found = cut.select(*names, *(_spans(k, params).alias(f"_{k.name}") for k in KINDS))
     alone = "filter(_{n}, x -> NOT exists(_{b}, y -> y.start <= x.start AND x.end <= y.end)) AS _{n}"
-    return found.selectExpr(*(f"`{c}`" for c in documents.columns), *(alone.format(n=k.name, b=k.completes) if k.completes else f"_{k.name}" for k in KINDS))
+    out = found.selectExpr(*names, *(alone.format(n=k.name, b=k.completes) if k.completes else f"_{k.name}" for k in KINDS))
+    return out.toDF(*documents.columns, *common.free_names((f"_{k.name}" for k in KINDS), documents.columns))
 
 
 def _listed(kinds: tuple[Kind, ...]) -> Column:
