@@ -246,8 +246,8 @@ def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFr
     classes = common.lookup(near.select("sid", "links", "root"), heads, "root", p.broadcast_rows).drop("root")
     own = reps.select("sid", "rep", "key", "weight").withColumnRenamed("key", "alone").join(classes, "sid", "left").select(
         "sid", F.when(F.col("head").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "alone").alias("head"),
-        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    found = signed.select("doc_id", "key", "sid").join(own, "sid", "left").select(
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n"))
+    found = common.lookup(signed.select("doc_id", "key", "sid"), own, "sid", p.broadcast_rows // 2).select(
         "doc_id", "key", F.coalesce(F.col("key") == F.col("head"), F.lit(True)).alias("first"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     out = common.write_shared(found, rows=signed.count())
