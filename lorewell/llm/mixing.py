@@ -14,7 +14,8 @@ sees all blocks of a large source.
 
 Only one number a document is gathered: texts are not shuffled. The table of
 blocks to take is broadcast up to `broadcast_rows` rows and joined by shuffle
-beyond. Sources are collected, up to `max_sources`.
+beyond. Up to `max_sources` sources are collected for the bisection; of more, each
+step of it is one aggregation over their table.
 
 Edge cases: a null or empty text has size 1 (its end), so it is dealt out too;
 null and empty source are one source; repeated rows are dealt like any others;
@@ -25,6 +26,7 @@ words and one end.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,11 +63,13 @@ def entropy(w: list[float]) -> float:
     return -sum(x * math.log(x) for x in w if x > 0)
 
 
-def exponent(tokens: list[float], p: MixingParams) -> float:
-    """The largest exponent with the target entropy, or the smallest above it that keeps the repetition limit."""
-    budget = p.budget * sum(tokens)
+def bisected(n: int, state: Callable[[float], tuple[float, float]], p: MixingParams) -> float:
+    """The largest exponent with the target entropy, or the smallest above it that keeps the repetition limit.
+
+    `state` gives the entropy of n sources and the most that one repeats, at an exponent.
+    """
 
-    def bisect(fine_at_low) -> float:
+    def bisect(fine_at_low: Callable[[float], bool]) -> float:
         """The largest exponent for which `fine_at_low` holds, if it holds from 0 up to there."""
         low, high = 0.0, 1.0
         if fine_at_low(high):
@@ -75,21 +79,44 @@ def exponent(tokens: list[float], p: MixingParams) -> float:
             low, high = (mid, high) if fine_at_low(mid) else (low, mid)
         return low
 
-    mixed = bisect(lambda a: entropy(weights(tokens, a)) >= p.entropy * math.log(len(tokens)) - 1e-12)
-    over = lambda a: max(w * budget / t for w, t in zip(weights(tokens, a), tokens)) > p.max_repeats
+    over = lambda a: state(a)[1] > p.max_repeats
+    mixed = bisect(lambda a: state(a)[0] >= p.entropy * math.log(n) - 1e-12)
     return 1.0 if over(1.0) else max(mixed, bisect(over) if over(mixed) else 0.0)
 
 
-def plan(sizes: DataFrame, p: MixingParams) -> list[tuple[str, float, float, int]]:
-    """(source, tokens, tokens to take, blocks) of every source; `sizes` has source and size."""
-    found = sizes.groupBy("source").agg(F.sum("size").alias("tokens")).orderBy("source").limit(p.max_sources + 1).collect()
-    if len(found) > p.max_sources:
-        raise ValueError(f"more than {p.max_sources} sources")
-    if not found:
-        return []
-    tokens = [float(r.tokens) for r in found]
-    w = weights(tokens, exponent(tokens, p))
-    return [(r.source, t, x * p.budget * sum(tokens), max(1, math.ceil(t / p.block_tokens))) for r, t, x in zip(found, tokens, w)]
+def exponent(tokens: list[float], p: MixingParams) -> float:
+    """`bisected` for sources of so many tokens."""
+    budget = p.budget * sum(tokens)
+
+    def state(a: float) -> tuple[float, float]:
+        w = weights(tokens, a)
+        return entropy(w), max(x * budget / t for x, t in zip(w, tokens))
+
+    return bisected(len(tokens), state, p)
+
+
+def plan(sizes: DataFrame, p: MixingParams) -> DataFrame:
+    """(_source, _tokens, _take, _blocks): tokens, tokens to take and blocks of every source; `sizes` has source and size."""
+    spark = sizes.sparkSession
+    table = common.held(sizes.groupBy(F.col("source").alias("_source")).agg(F.sum("size").cast("double").alias("_tokens")))
+    n, total, top = table.agg(F.count("*"), F.sum("_tokens"), F.max("_tokens")).first()
+    if n > p.max_sources:
+        share = F.col("_tokens") / top
+
+        def summed(a: float) -> tuple[float, float]:
+            raised = F.pow(share, F.lit(a))
+            s, log, most = table.agg(F.sum(raised), F.sum(raised * F.log(raised)), F.max(raised / F.col("_tokens"))).first()
+            return math.log(s) - log / s, most / s * p.budget * total
+
+        a = bisected(n, summed, p)
+        whole = table.agg(F.sum(F.pow(share, F.lit(a)))).first()[0]
+        return table.select("_source", "_tokens", (F.pow(share, F.lit(a)) / whole * p.budget * total).alias("_take"), F.ceil(F.col("_tokens") / p.block_tokens).alias("_blocks"))
+    found = table.orderBy("_source").collect()  # at most max_sources
+    tokens = [r._tokens for r in found]
+
+    w = weights(tokens, exponent(tokens, p)) if found else []
+    rows = [(r._source, r._tokens, x * p.budget * total, max(1, math.ceil(r._tokens / p.block_tokens))) for r, x in zip(found, w)]
+    return F.broadcast(spark.createDataFrame(rows, "_source string, _tokens double, _take double, _blocks long"))
 
 
 def _dealt(documents: DataFrame, source: str, doc_id: str, text: str) -> list[Column]:
@@ -106,11 +133,9 @@ def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[s
     columns = columns or tuple(documents.columns)
     plain, names = common.renamed(documents)
     at = dict(zip(documents.columns, names))
-    spark = documents.sparkSession
     dealt = plain.select("*", *_dealt(plain, at["source"], at["doc_id"], at["text"]))
     slim = common.held(dealt.select(*(at[c] for c in columns if c != "text"), "_source", "_size", "_hash"))
-    sources = plan(slim.select(F.col("_source").alias("source"), F.col("_size").alias("size")), p)
-    quota = F.broadcast(spark.createDataFrame(sources, "_source string, _tokens double, _take double, _blocks long"))  # at most max_sources rows
+    quota = plan(slim.select(F.col("_source").alias("source"), F.col("_size").alias("size")), p)
 
     def placed(df: DataFrame) -> DataFrame:
         return df.join(quota, "_source").withColumn("_block", F.pmod("_hash", F.col("_blocks")))
@@ -136,7 +161,8 @@ def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[s
     wanted = [*(at[c] for c in columns), "_epoch", "_block", "_size", "_mix"]
     rows = placed(slim if "text" not in columns else dealt)
     every = rows.join(full, ["_source", "_block"]).select(*wanted)
-    spent = Window.partitionBy("_source", "_block").orderBy("_hash").rowsBetween(Window.unboundedPreceding, -1)
+    ties = F.xxhash64(*(at[c] for c in documents.columns if at[c] in rows.columns and c != "text"))  # rows of the same id and text
+    spent = Window.partitionBy("_source", "_block").orderBy("_hash", ties).rowsBetween(Window.unboundedPreceding, -1)
     rest = rows.join(cut, ["_source", "_block"]).withColumn("_spent", F.coalesce(F.sum("_size").over(spent), F.lit(0))).where("_spent < _room").select(*wanted)
     return every.union(rest).toDF(*columns, *common.free_names(("epoch", "block", "tokens", "mix_key"), columns))
 

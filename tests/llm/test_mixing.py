@@ -31,10 +31,10 @@ def make(spark):
     return table(spark, [*rows, (900, None, None, "x"), (901, "", "a b", "x"), (901, "", "a b", "x")])
 
 
-@pytest.mark.parametrize("rows", [400_000, 0])
-def test_budgets(spark, rows):
+@pytest.mark.parametrize(("rows", "sources"), [(400_000, 200_000), (0, 200_000), (400_000, 1)])
+def test_budgets(spark, rows, sources):
     docs = make(spark)
-    p = mixing.MixingParams(entropy=0.9, max_repeats=3.0, block_tokens=200, broadcast_rows=rows)
+    p = mixing.MixingParams(entropy=0.9, max_repeats=3.0, block_tokens=200, broadcast_rows=rows, max_sources=sources)
     out = mixing.mix(docs, p, ("doc_id", "source")).collect()
     size = {r.doc_id: (r.source or "", (r.text or "").count("w") + (2 if r.text == "a b" else 0) + 1) for r in docs.collect()}
     total = sum(v for _, v in size.values()) + 3
