@@ -8,8 +8,12 @@ document never need a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorewell.functions.text import let, trim_ws
 
@@ -77,8 +81,61 @@ def pieces(body: Column, size: int = 800, overlap: int = 100) -> Column:
     return F.transform(starts, lambda i: trim_ws(F.substring(body, i * step + 1, F.lit(size))))
 
 
-def chunk(documents: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """(chunk_id, doc_id, chunk_index, section, page, content) of documents (doc_id, format, text)."""
+# fixed values: where a section that is too long is cut, the first that it has
+SEPARATORS = ("\n", ".", "?", "!")
+
+
+def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of about `size` characters, cut at the first separator that the text has.
+
+    What lies between two separators is joined up to the size, the last `overlap`
+    characters' worth of parts begin the next piece, and a part that is too long is
+    cut at the separators that follow, or stays if there are none.
+    """
+    here = next((k for k, s in enumerate(separators) if s in text), len(separators) - 1)
+    separator, rest = separators[here], separators[here + 1 :]
+    out: list[str] = []
+    held: list[str] = []
+
+    def length() -> int:
+        return sum(map(len, held)) + len(separator) * max(0, len(held) - 1)
+
+    def close() -> None:
+        if held:
+            out.append(separator.join(held))
+
+    for part in filter(None, text.split(separator)):
+        if len(part) >= size:
+            close()
+            held.clear()
+            out += recursive_pieces(part, size, overlap, rest) if rest else [part]
+            continue
+        if held and length() + len(separator) + len(part) > size:
+            close()
+            while held and (length() > overlap or length() + len(separator) + len(part) > size):
+                held.pop(0)
+        held.append(part)
+    close()
+    return [x.strip() for x in out if x.strip()]
+
+
+def _recursive(size: int, overlap: int):
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda text: [text] if len(text) <= size else recursive_pieces(text, size, overlap) or [text])
+
+    return run
+
+
+def chunk(documents: DataFrame, size: int = 800, overlap: int = 100, recursive: bool = False) -> DataFrame:
+    """(chunk_id, doc_id, chunk_index, section, page, content) of documents (doc_id, format, text).
+
+    Sections longer than `size` are cut into stretches of that length, or with
+    `recursive` at separators.
+    """
+    if recursive:
+        return _chunk_recursive(documents, size, overlap)
     marked = lambda s, p: F.when(s["page"] > 0, F.concat(F.lit("## 第 "), s["page"].cast("string"), F.lit(" 页\n\n"), p)).otherwise(p)
     parts = lambda s: F.transform(F.filter(pieces(s["content"], size, overlap), lambda p: p != ""), lambda p: F.struct(s["section"].alias("section"), s["page"].alias("page"), marked(s, p).alias("content")))
     rows = documents.select("doc_id", F.flatten(F.transform(split_structure(F.col("text"), F.col("format")), parts)).alias("chunks"))
@@ -87,3 +144,12 @@ def chunk(documents: DataFrame, size: int = 800, overlap: int = 100) -> DataFram
         F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("c.section").alias("section"),
         F.nullif(F.col("c.page"), F.lit(0)).alias("page"), F.col("c.content").alias("content"),
     )
+
+
+def _chunk_recursive(documents: DataFrame, size: int, overlap: int) -> DataFrame:
+    sections = documents.select("doc_id", F.posexplode(split_structure(F.col("text"), F.col("format"))).alias("n", "s"))
+    parts = sections.select("doc_id", "n", "s.section", "s.page", F.posexplode(_recursive(size, overlap)(F.col("s.content"))).alias("m", "piece"))
+    marked = F.when((F.col("page") > 0) & ~F.col("piece").rlike(PAGE), F.concat(F.lit("## 第 "), F.col("page").cast("string"), F.lit(" 页\n\n"), "piece")).otherwise(F.col("piece"))
+    rows = parts.select("doc_id", "section", "page", marked.alias("content"), F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "m")).alias("k"))
+    index = (F.col("k") - 1).cast("bigint")
+    return rows.select(F.concat_ws("-", "doc_id", index).alias("chunk_id"), "doc_id", index.alias("chunk_index"), "section", F.nullif("page", F.lit(0)).alias("page"), "content")

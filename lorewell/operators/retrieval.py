@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorewell.functions.rules import tool_query
 from lorewell.operators import fusion, lexical, vectors
 from lorewell.operators.models import Expander, Reranker
 from lorewell.sources.parameters import Parameters
@@ -125,6 +126,23 @@ def retrieve(chunks: DataFrame, questions: DataFrame, vectors_of_chunks: DataFra
     return rerank(candidates, reranker, p.rerank_top_n if p.rerank_top_n > 0 else p.top_k)
 
 
+def tool_questions(calls: DataFrame, tenant: int) -> DataFrame:
+    """(query_id, variant, query) of an agent's search calls (query_id, arguments as JSON); a blank question asks nothing.
+
+    Calls without a tenant are refused: a search must not leave its scope.
+    """
+    if not tenant or tenant < 0:
+        raise ValueError("a search needs a tenant")
+    return calls.select("query_id", F.lit(0).alias("variant"), tool_query(F.col("arguments")).alias("query")).where("query <> ''")
+
+
+def merge_rounds(rounds: DataFrame) -> DataFrame:
+    """(answer_id, number, chunk_id, round, rank): the chunks of an answer's rounds (answer_id, round, rank, chunk_id), each where it was seen first."""
+    first = rounds.groupBy("answer_id", "chunk_id").agg(F.min(F.struct("round", "rank")).alias("f"))
+    order = Window.partitionBy("answer_id").orderBy("f", "chunk_id")
+    return first.select("answer_id", F.row_number().over(order).cast("bigint").alias("number"), "chunk_id", "f.round", "f.rank")
+
+
 def agent_context(messages: DataFrame, question: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """(session_id, n, role, content): a session's summary first, its turns in order, the question last."""
     turns = messages.where(F.col("role").isin("user", "assistant") & (F.trim("content") != "")).select("session_id", F.lit(1).alias("part"), "id", "role", "content")

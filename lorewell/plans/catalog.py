@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorewell.operators import catalog
+from lorewell.operators import catalog, retrieval
 from lorewell.plans.registry import query
 from lorewell.sources.relations import with_inputs as q
 
@@ -43,14 +43,10 @@ def point_lookup(t):
     return t("kb_documents").where("id = 42").select("id", "status", "knowledge_base_id")
 
 
-@query("list_chunks", q("SELECT doc_id, chunk_index, count(*) AS hits FROM retrieval_hits WHERE doc_id = '12' GROUP BY 1, 2 ORDER BY chunk_index LIMIT 10000", "retrieval_hits"))
-def list_chunks(t):
-    return t("retrieval_hits").where("doc_id = '12'").groupBy("doc_id", "chunk_index").agg(F.count("*").alias("hits")).orderBy("chunk_index").limit(10_000)
-
-
 @query("filter_chunks", q("SELECT id, knowledge_base_id, directory_id FROM kb_documents WHERE tenant_id = 2 AND knowledge_base_id = 7 AND directory_id IN (7, 32, 57, 107, 157)", "kb_documents"))
 def filter_chunks(t):
-    return t("kb_documents").where((F.col("tenant_id") == 2) & (F.col("knowledge_base_id") == 7) & F.col("directory_id").isin(7, 32, 57, 107, 157)).select("id", "knowledge_base_id", "directory_id")
+    docs = t("kb_documents").withColumnRenamed("knowledge_base_id", "kb_id")
+    return retrieval.scoped(docs, tenant=2, user=None, kb=7, directories=[7, 32, 57, 107, 157]).select("id", F.col("kb_id").alias("knowledge_base_id"), "directory_id")
 
 
 _TREE = ", tree AS (SELECT id, CAST(0 AS BIGINT) AS depth FROM directories WHERE id = {root} UNION ALL SELECT d.id, tree.depth + 1 FROM directories d JOIN tree ON d.parent_id = tree.id) "
@@ -58,8 +54,8 @@ _TREE = ", tree AS (SELECT id, CAST(0 AS BIGINT) AS depth FROM directories WHERE
 
 @query("filter_by_directory_tree", q(_TREE.format(root=3) + "SELECT id, directory_id FROM kb_documents WHERE directory_id IN (SELECT id FROM tree)", "directories", "kb_documents"))
 def filter_by_directory_tree(t):
-    tree = catalog.descendants(t("directories"), t("directories").where("id = 3")).select(F.col("id").alias("directory_id"))
-    return t("kb_documents").join(tree, "directory_id", "left_semi").select("id", "directory_id")
+    tree = catalog.descendants(t("directories"), t("directories").where("id = 3"))
+    return retrieval.scoped(t("kb_documents"), directories=tree).select("id", "directory_id")
 
 
 @query("directory_descendants", q(_TREE.format(root=3) + "SELECT id, depth FROM tree", "directories"))
@@ -100,7 +96,7 @@ def acl_visibility(t):
 @query("user_roles", q("SELECT u.id, u.username = 'u7' AS tenant_admin, t.code = 'africa' AND u.username = 'u7' AS platform_admin FROM users u JOIN tenants t ON t.id = u.tenant_id", "users", "tenants"))
 def user_roles(t):
     admin = F.col("username") == "u7"
-    tenants = F.broadcast(t("tenants").select(F.col("id").alias("tenant_id"), "code"))
+    tenants = t("tenants").select(F.col("id").alias("tenant_id"), "code")
     return t("users").join(tenants, "tenant_id").select("id", admin.alias("tenant_admin"), (admin & (F.col("code") == "africa")).alias("platform_admin"))
 
 
@@ -118,7 +114,7 @@ def tenant_usage(t):
 def quota_status(t):
     limit = catalog.effective_limit(F.col("max_files"))
     used = t("usage_events").groupBy(F.col("tenant_id").alias("id"), F.date_format(catalog.shanghai(F.col("ts")), "yyyy-MM-dd").alias("day")).agg(F.count_if(F.col("kind") == "voice").alias("used"))
-    return used.join(F.broadcast(t("tenants")), "id").select("id", "day", "used", (F.col("used") >= limit).alias("rejected"), F.greatest(F.lit(0), limit - F.col("used")).cast(BIG).alias("remaining"))
+    return used.join(t("tenants"), "id").select("id", "day", "used", (F.col("used") >= limit).alias("rejected"), F.greatest(F.lit(0), limit - F.col("used")).cast(BIG).alias("remaining"))
 
 
 @query("speech_usage_daily", q("SELECT tenant_id, CAST(CAST(ts + INTERVAL '8' HOUR AS DATE) AS VARCHAR) AS day, CAST(sum(CASE WHEN kind = 'voice' THEN 1 ELSE 0 END) AS BIGINT) AS voice_inputs, CAST(sum(CASE WHEN kind = 'tts' THEN 1 ELSE 0 END) AS BIGINT) AS tts_count FROM usage_events GROUP BY 1, 2", "usage_events"))

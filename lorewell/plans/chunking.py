@@ -17,6 +17,20 @@ def chunk_documents(t):
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).cast("bigint").alias("characters"), F.md5(joined).alias("digest"))
 
 
+@query("list_chunks", f"SELECT concat(doc_id, '-', n) AS chunk_id, n AS chunk_index, content FROM (SELECT doc_id, content, row_number() OVER (ORDER BY chunk_index) - 1 AS n FROM ({_PIECES}) WHERE content <> '' AND doc_id = 12) ORDER BY n LIMIT 10000")
+def list_chunks(t):
+    """The chunks of one document, in order; the filter reaches the scan."""
+    chunks = chunking.chunk(t("documents").where("doc_id = 12").select("doc_id", F.lit("text").alias("format"), "text"))
+    return chunks.orderBy("chunk_index").limit(10_000).select("chunk_id", "chunk_index", "content")
+
+
+@query("chunk_recursive")
+def chunk_recursive(t):
+    """Chunks cut at line ends and sentence ends where these allow it; held against its definition in the tests."""
+    chunks = chunking.chunk(t("documents").select("doc_id", F.lit("text").alias("format"), "text"), recursive=True)
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
+
+
 COLUMNS = "id long, format string, text string"
 TEXTS = [
     (1, "markdown", "intro\n# One\nbody one\n## Two\n\n### Three\nbody three"), (2, "markdown", "# Only\nbody"), (3, "markdown", "plain text"), (4, "markdown", "##\nbare\n# X\ny"),

@@ -166,3 +166,10 @@ def agent_messages(t):
     s = t("sessions")
     sent = retrieval.agent_context(t("turns"), s.select("session_id", F.col("title").alias("query")), s.where("title <> ''").select("session_id", F.concat(F.lit("summary of "), "title").alias("summary")))
     return sent.select("session_id", "n", "role", F.md5("content").alias("digest"))
+
+
+@query("deletable_bases", q("SELECT id FROM knowledge_bases k WHERE NOT EXISTS (SELECT 1 FROM kb_documents d WHERE d.knowledge_base_id = k.id AND d.status <> 'failed') AND NOT EXISTS (SELECT 1 FROM directories x WHERE x.knowledge_base_id = k.id)", "knowledge_bases", "kb_documents", "directories"))
+def deletable_bases(t):
+    """Bases without directories and without documents that are more than failed imports."""
+    used = t("kb_documents").where("status <> 'failed'").select(F.col("knowledge_base_id").alias("id")).union(t("directories").select(F.col("knowledge_base_id").alias("id")))
+    return t("knowledge_bases").select("id").join(used.where("id IS NOT NULL"), "id", "left_anti")

@@ -8,6 +8,7 @@ import pytest
 from pyspark import cloudpickle
 
 from lorewell.operators import lexical, models, quality, retrieval, vectors
+from lorewell.sources import golden
 from lorewell.sources.parameters import Parameters
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the models below travel to the workers
@@ -116,6 +117,24 @@ def test_golden_lines(spark):
             quality.golden_cases(lines(bad)).collect()
 
 
+def test_golden_file(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('# note\n\n{"id":"a","query":"q","relevant_titles":["t"]}\r\n{"query":"r","relevant_contains":["x"]}\n')
+    assert [(r.id, r["query"]) for r in golden.read_golden(spark, f"{tmp_path}/g.jsonl").collect()] == [("a", "q"), ("case-4", "r")]
+    (tmp_path / "h.jsonl").write_text("# only a note\n")
+    with pytest.raises(ValueError):
+        golden.read_golden(spark, f"{tmp_path}/h.jsonl")
+
+
+def test_agent_tools(spark):
+    calls = spark.createDataFrame([(1, '{"query": " find it "}'), (2, '{"query": " "}'), (3, "no json")], "query_id long, arguments string")
+    assert [(r.query_id, r["query"]) for r in retrieval.tool_questions(calls, 2).collect()] == [(1, "find it")]
+    with pytest.raises(ValueError):
+        retrieval.tool_questions(calls, 0)
+    rounds = spark.createDataFrame([(1, 1, 1, "x"), (1, 1, 2, "y"), (1, 2, 1, "y"), (1, 2, 2, "z"), (2, 1, 1, "z")], "answer_id long, round long, rank long, chunk_id string")
+    got = sorted(tuple(r) for r in retrieval.merge_rounds(rounds).collect())
+    assert got == [(1, 1, "x", 1, 1), (1, 2, "y", 1, 2), (1, 3, "z", 2, 2), (2, 1, "z", 1, 1)]
+
+
 def test_criteria(spark):
     ranked = spark.createDataFrame([(1, 1, 70, "a title", "text"), (1, 2, 7, "b", "text with item"), (2, 1, 5, None, None)], "case_id long, rank long, doc_id long, title string, content string")
     wanted = spark.createDataFrame([(1, "doc_id", "7"), (1, "title", " tit "), (1, "contains", "item"), (1, "contains", "item"), (1, "contains", " "), (2, "title", "x"), (3, "contains", "y")], "case_id long, kind string, criterion string")
