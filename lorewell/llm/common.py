@@ -49,14 +49,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.unhex(F.md5(F.concat(part(doc_id), F.lit("\x00"), part(text))))
 
 
-def write_shared(df: DataFrame, compression: str = "snappy", rows: int | None = None) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, dealt out to files fit for about `rows` short rows if that is given.
+def write_shared(df: DataFrame, compression: str = "snappy", rows: int | None = None, path: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder, or to `path` in it, and reads it back, dealt out to files fit for about `rows` short rows if that is given.
 
     Smaller on disk than a checkpoint, as Parquet is compressed. The folder
     goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/lorewell-{uuid.uuid4().hex}"
     (df if rows is None else df.repartition(files_for(rows))).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -93,6 +93,7 @@ def files_for(rows: int) -> int:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session still runs."""
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

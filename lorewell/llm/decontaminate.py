@@ -12,9 +12,11 @@ ranges that run empty leave. Occurrences are located by walking back to a
 sampled row, and the spans of a document are merged by marking their ends.
 
 There is no shuffle: each task indexes, searches and drops its own shards. What
-is broadcast are the phrases, at most `max_block_words` words of them; a larger
-benchmark is searched in so many blocks one after the other, each with a
-broadcast of that size, and the spans of all blocks are merged.
+is broadcast are the phrases, about `max_block_words` words of them. A larger
+benchmark is searched in as many passes as it has blocks: each fetches and
+broadcasts its own block, merges its spans with those found so far, and writes
+them beside the texts to the shared folder for the next one. So driver, executors
+and workers hold one block, however many there are.
 
 Edge cases: a null or empty text has no words, no hit and is not contaminated
 (n_words = n_hit = n_items = 0); a null or empty benchmark text yields no
@@ -26,11 +28,13 @@ empty result or no hits. Columns beside the id and the text pass through.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,35 +214,56 @@ def shard_hits(h: np.ndarray, bounds: np.ndarray, phrases: Phrases, sample: int)
     return first, first + phrases.lengths[phrase], phrase
 
 
-def _blocks(benchmark: DataFrame, p: DecontaminateParams) -> list[Phrases]:
-    """The phrases in blocks of about `max_block_words` words, each fetched by itself."""
+def _blocks(benchmark: DataFrame, p: DecontaminateParams) -> Iterator[tuple[Phrases, bool]]:
+    """The phrases in blocks of about `max_block_words` words, each fetched when it is asked for, and whether it is the last."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // p.max_block_words))
-    return [Phrases.of([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()], p.window) for k in range(n)]
+    for k in range(n):
+        yield Phrases.of([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()], p.window), k == n - 1
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, params: DecontaminateParams = DecontaminateParams(), columns: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`columns`, n_words, the merged hit spans [begin, end) in words, and the ids of the items that occur."""
-    p = params
-    context = documents.sparkSession.sparkContext
-    spread = [context.broadcast(x.plain()) for x in _blocks(benchmark, p)]
+    spark = documents.sparkSession
+    carried = columns if text in columns else (*columns, text)
+    found, written = documents.select(*carried), []
+    for phrases, last in _blocks(benchmark, params):
+        spread = spark.sparkContext.broadcast(phrases.plain())
+        found = _pass(found, spread, params, columns if last else carried, text, former=bool(written))
+        if not last:
+            path = f"{common.shared_dir(spark)}/decontaminate-{uuid.uuid4().hex}"
+            found = common.write_shared(found, path=path)
+            spread.unpersist()
+            if written:
+                common._remove(spark, written[-1])  # the pass before has been read
+            written.append(path)
+    return found
+
+
+def _pass(documents: DataFrame, spread: Broadcast, p: DecontaminateParams, columns: tuple[str, ...], text: str, former: bool) -> DataFrame:
+    """`columns`, n_words, spans and items after a search for one block; with `former`, documents have the spans and items found so far."""
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*documents.select(*columns).schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.LongType()))])
     arrow_span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(*spread.value)
         for part in common.slices(batches, text, p.shard_bytes):
             h, _, _, bounds = common.words(*common.text_arrays(part.column(text)))
             open_at, items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(part.num_rows)]
-            for block in spread:
-                phrases = Phrases(*block.value)
-                first, end, phrase = shard_hits(h, bounds, phrases, p.sample)
-                np.add.at(open_at, first, 1)
-                np.add.at(open_at, end, -1)
-                doc = np.searchsorted(bounds, first, "right") - 1
-                for d, k in np.unique(np.stack([doc, phrase], 1), axis=0) if len(doc) else ():
-                    items[d].update(phrases.items[k])
+            if former:
+                items = [set(x) for x in part.column("items").to_pylist()]
+                for lead, spans in zip(bounds, part.column("spans").to_pylist()):
+                    for x in spans:
+                        open_at[lead + x["begin"]] += 1
+                        open_at[lead + x["end"]] -= 1
+            first, end, phrase = shard_hits(h, bounds, phrases, p.sample)
+            np.add.at(open_at, first, 1)
+            np.add.at(open_at, end, -1)
+            doc = np.searchsorted(bounds, first, "right") - 1
+            for d, k in np.unique(np.stack([doc, phrase], 1), axis=0) if len(doc) else ():
+                items[d].update(phrases.items[k])
             hit = np.concatenate([[False], np.cumsum(open_at)[:-1] > 0, [False]])
             begin, finish = np.flatnonzero(hit[1:-1] & ~hit[:-2]), np.flatnonzero(hit[1:-1] & ~hit[2:]) + 1
             # a span that runs over the end of a text belongs to both texts
@@ -254,8 +279,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, params: Decon
                 names=[*columns, "n_words", "spans", "items"],
             )
 
-    inputs = documents.select(*columns) if text in columns else documents.select(*columns, text)
-    return inputs.mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)
 
 
 def n_hit() -> Column:
