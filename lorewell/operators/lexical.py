@@ -8,6 +8,11 @@ from pyspark.sql.window import Window
 
 from lorewell.functions.text import tokenize
 
+#: Bytes of question terms that are broadcast; more are looked up by shuffle.
+MAX_TERM_BYTES = 32 << 20
+#: Parts into which the rows of one term are dealt for that.
+SALTS = 32
+
 
 def _body(chunks: DataFrame) -> Column:
     """What is indexed: the title, where there is one, and the content."""
@@ -22,6 +27,20 @@ def postings(chunks: DataFrame) -> DataFrame:
     return rows.where("term IS NOT NULL").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
 
 
+def _frequencies(terms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, term, length, tf) of the wanted terms, from (doc_id, length, term) of each word.
+
+    The wanted terms are broadcast if they are measured and small. Beyond, words
+    are counted first and meet them by shuffle, a term's documents dealt out to
+    `SALTS` parts, as a common word is in most of them.
+    """
+    counted = lambda df: df.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    if wanted.agg(F.sum(F.octet_length("term") + 32)).first()[0] <= MAX_TERM_BYTES:  # 32 for what a row takes beside its text
+        return counted(terms.join(F.broadcast(wanted), "term"))
+    dealt = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return counted(terms).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"], "left_semi").drop("salt")
+
+
 def search(chunks: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best chunks of each question (query_id, query), any term counts.
 
@@ -33,14 +52,15 @@ def search(chunks: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b:
     asked = questions.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     terms = chunks.select("doc_id", F.concat(F.array(F.lit("")), tokenize(_body(chunks))).alias("terms"))
-    rows = terms.select("doc_id", (F.size("terms") - 1).alias("length"), F.explode_outer("terms").alias("term")).join(F.broadcast(wanted), "term")  # terms of the questions
+    rows = terms.select("doc_id", (F.size("terms") - 1).alias("length"), F.explode_outer("terms").alias("term"))
     # every use reads the same columns and rows, so that the exchange below is shared
-    tf = rows.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    tf = _frequencies(rows, wanted)
     sums = tf.groupBy("term").agg(F.count("tf").alias("df"), F.avg("length").alias("mean"))
     stats = sums.agg(F.max(F.when(F.col("term") == "", F.col("df"))).alias("n"), F.max(F.when(F.col("term") == "", F.col("mean"))).alias("mean"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighed = tf.join(sums.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", part.alias("part"))  # stats is one row
+    # no question has the empty term, which is in every chunk; by `tf` too, as a filter of the term alone would move below the exchange
+    weighed = tf.where(F.col("tf") * F.length("term") > 0).join(sums.select("term", "df"), "term").crossJoin(F.broadcast(stats)).select("doc_id", "term", part.alias("part"))  # stats is one row
     scored = weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)

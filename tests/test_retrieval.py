@@ -102,6 +102,16 @@ def test_nearest(spark, monkeypatch, metric):
         assert [(-r.score + 0.0, r.doc_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(pytest.approx(s, abs=2e-6), d) for s, d in want]
 
 
+def test_search_with_many_question_terms(spark, monkeypatch):
+    rng = random.Random(3)
+    chunks = spark.createDataFrame([(k, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 30)))) for k in range(60)] + [(90, None), (91, "")], "doc_id long, content string")
+    asked = spark.createDataFrame([(k, " ".join(rng.choices("abcdxyz", k=4))) for k in range(12)], "query_id long, query string")
+    rows = lambda: sorted(map(tuple, lexical.search(chunks, asked, 5).collect()))
+    small = rows()
+    monkeypatch.setattr(lexical, "MAX_TERM_BYTES", 0)
+    assert rows() == small and len(small) > 40
+
+
 def test_search_without_match(spark):
     chunks = spark.createDataFrame([(1, None), (2, ""), (3, "word")], "doc_id long, content string")
     asked = spark.createDataFrame([(1, "other"), (2, ""), (3, "WORD word")], "query_id long, query string")
