@@ -47,7 +47,8 @@ def search(chunks: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b:
     One pass reads and tokenises the chunks: it keeps the terms that some question
     has, and an empty term for each chunk that carries its length. Term
     frequencies, document frequencies and the mean length all come from the sums of
-    that pass, whose shuffle is made once and read by each.
+    that pass. The statistics share its shuffle; the scores, as the plan is now, make
+    it a second time, so the chunks are read twice.
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
