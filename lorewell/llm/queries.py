@@ -18,7 +18,7 @@ from lorewell.llm.pii import op10_pii
 from lorewell.llm.quality import op8_quality
 from lorewell.llm.substrings import op4_substrings
 from lorewell.llm.toxicity import op2_toxicity
-
+from lorewell.llm.turns import op11_turns
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_lm_score": op9_lm_score,
     "op10_pii": op10_pii,
+    "op11_turns": op11_turns,
     "quality_base": quality_base,
     "lm_base": lm_base,
     "pii_base": pii_base,
 }
 
 #: Learnt, sketched or searched results have no SQL form; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": sql.DECONTAMINATE, "quality_base": sql.QUALITY, "lm_base": sql.LM, "pii_base": sql.PII}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": sql.DECONTAMINATE, "quality_base": sql.QUALITY, "lm_base": sql.LM, "pii_base": sql.PII, "op11_turns": sql.TURNS}

@@ -23,7 +23,8 @@ QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(te
  len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN r USING (row) LEFT JOIN l USING (row)"""
 _CARD = r"[0-9](?:[\x20-]?[0-9])+"
 #: crc32 of the id as text, byte by byte.
-CRC32 = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::UBIGINT for z in range(8)]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"
+CRC32_OF = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(@, ''), lambda c: ascii(c)::UBIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::UBIGINT for z in range(8)]), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"
+CRC32 = CRC32_OF.replace("@", "CAST(doc_id AS VARCHAR)")
 LM = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {CRC32} % 10 = 0 AS held_out, list_concat(regexp_extract_all({LOW.format(x="coalesce(text, '')")}, {VISIBLE}), ['']) AS w FROM documents),
  t AS (SELECT row, held_out, unnest(w) AS token FROM d), c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), s AS (SELECT sum(c) AS n, count(*) AS v FROM c),
  x AS (SELECT row, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score FROM t LEFT JOIN c USING (token), s GROUP BY 1)
@@ -49,3 +50,36 @@ PII = "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '')
  a AS (SELECT row, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
  string_agg(concat(kind, ':', start, ':', start + length(value)), ',' ORDER BY list_position(['email', 'ip', 'card', 'phone'], kind), start) AS listed FROM s GROUP BY 1)
  SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(listed, '')) AS base_sha256 FROM d LEFT JOIN a USING (row)"""
+
+
+def _step(state: str, cost: int, edit: str, turn: str) -> str:
+    """A state after one more edit; `turn` is the SQL of the turn that it leaves, if any."""
+    kept = f"list_append({state}.t, {turn})" if turn else f"{state}.t"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {kept}}}"
+
+
+def _least(*options: str) -> str:
+    """The least option by cost and audit; the turns follow from the audit."""
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edits(state: str, letter: str, role: str) -> list[str]:
+    """Keep and re-role from a state that wants `letter`; FAR where the turn must go."""
+    stays = "CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000::BIGINT WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    return [_step(state, f"{stays} + CASE WHEN letter = '{letter}' THEN 0 ELSE 1000000000::BIGINT END", "K", "role || ':' || text"), _step(state, f"{stays} + 1", "R", f"'{role}:' || text")]
+
+
+_SPACE = r"'[^\x20\x09-\x0D]'"
+_FAR = "{'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]}"
+#: The four states are s0 (nothing yet), s1 (system), s2 (user), s3 (assistant); u and e are s2 and s3 after the inserts that can help.
+_CLOSED = f"SELECT *, {_least('s3', _step('u', 5, 'I', "'assistant:'"))} AS e FROM (SELECT *, {_least('s2', *(_step(s, 5, 'I', "'user:'") for s in ('s0', 's1', 's3')))} AS u FROM v)"
+TURNS = f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32_OF.replace('@', "concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations),
+ b AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS twin FROM d WHERE kind <> 0),
+ o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, twin) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, twin) AS nth, left(role, 1) AS letter FROM b),
+ f AS (SELECT *, CASE WHEN NOT regexp_matches(text, {_SPACE}) THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault, lag(letter) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+ v AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s0, {_FAR} AS s1, {_FAR} AS s2, {_FAR} AS s3 FROM f
+  UNION ALL SELECT x.conv_id, f.i, {_step('s0', 2, 'D', '')}, {_least(_step('s1', 2, 'D', ''), _edits('s0', 's', '')[0])}, {_least(_step('u', 2, 'D', ''), *(e for s in ('s0', 's1', 'e') for e in _edits(s, 'u', 'user')))}, {_least(_step('e', 2, 'D', ''), *_edits('u', 'a', 'assistant'))} FROM ({_CLOSED}) AS x JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i + 1),
+ r AS (SELECT conv_id, {_least('s0', 'e')} AS best FROM ({_CLOSED.replace('FROM v)', 'FROM (SELECT *, max(i) OVER (PARTITION BY conv_id) AS last FROM v) WHERE i = last)')})),
+ c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+ SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) AS k LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM k.conv_id"""
