@@ -19,6 +19,7 @@ from lorewell.llm.quality import op8_quality
 from lorewell.llm.substrings import op4_substrings
 from lorewell.llm.toxicity import op2_toxicity
 from lorewell.llm.turns import op11_turns
+from lorewell.llm.whitening import op12_whitening
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,11 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pii(spark, sf_dir).drop("spans", "n_spans")
 
 
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of the whitened embeddings, of the first component."""
+    return op12_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -48,10 +54,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_pii": op10_pii,
     "op11_turns": op11_turns,
+    "op12_whitening": op12_whitening,
     "quality_base": quality_base,
     "lm_base": lm_base,
     "pii_base": pii_base,
+    "whitening_base": whitening_base,
 }
 
 #: Learnt, sketched or searched results have no SQL form; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": sql.DECONTAMINATE, "quality_base": sql.QUALITY, "lm_base": sql.LM, "pii_base": sql.PII, "op11_turns": sql.TURNS}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": sql.DECONTAMINATE, "quality_base": sql.QUALITY, "lm_base": sql.LM, "pii_base": sql.PII, "op11_turns": sql.TURNS, "whitening_base": sql.WHITENING}

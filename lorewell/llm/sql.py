@@ -83,3 +83,6 @@ TURNS = f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS ro
  c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
  SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
  FROM (SELECT DISTINCT conv_id FROM conversations) AS k LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM k.conv_id"""
+WHITENING = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), FALSE)))),
+ e AS (SELECT x, unnest(x) AS c, unnest(range(len(x))) AS d FROM (SELECT DISTINCT x FROM v)), t AS (SELECT d, sum(c) AS s FROM e GROUP BY 1), k AS (SELECT count(*) AS n FROM (SELECT DISTINCT x FROM v)), l AS (SELECT list(s ORDER BY d) AS s FROM t)
+ SELECT vec_id, CAST(n AS BIGINT) AS n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation FROM v, k, l"""
