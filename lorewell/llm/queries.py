@@ -14,6 +14,7 @@ from lorewell.llm.language import op5_language
 from lorewell.llm.language_model import op9_lm_score
 from lorewell.llm.licenses import op6_licenses
 from lorewell.llm.mixing import op1_mixing
+from lorewell.llm.pages import op13_pages
 from lorewell.llm.pii import op10_pii
 from lorewell.llm.quality import op8_quality
 from lorewell.llm.substrings import op4_substrings
@@ -55,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_turns": op11_turns,
     "op12_whitening": op12_whitening,
+    "op13_pages": op13_pages,
     "quality_base": quality_base,
     "lm_base": lm_base,
     "pii_base": pii_base,
