@@ -14,14 +14,14 @@ MAX_TERM_BYTES = 32 << 20
 SALTS = 32
 
 
-def _body(chunks: DataFrame) -> Column:
+def body(chunks: DataFrame) -> Column:
     """What is indexed: the title, where there is one, and the content."""
     return F.concat_ws("\n", "title", "content") if "title" in chunks.columns else F.col("content")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(doc_id, term, tf, length) of every term; length is the chunk's number of terms."""
-    terms = chunks.select("doc_id", tokenize(_body(chunks)).alias("terms"))
+    terms = chunks.select("doc_id", tokenize(body(chunks)).alias("terms"))
     # an outer explode: a filter for empty arrays would tokenise every text again
     rows = terms.select("doc_id", F.size("terms").cast("bigint").alias("length"), F.explode_outer("terms").alias("term"))
     return rows.where("term IS NOT NULL").groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
@@ -52,7 +52,7 @@ def search(chunks: DataFrame, questions: DataFrame, k: int, k1: float = 1.2, b:
     """
     asked = questions.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
     wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    terms = chunks.select("doc_id", F.concat(F.array(F.lit("")), tokenize(_body(chunks))).alias("terms"))
+    terms = chunks.select("doc_id", F.concat(F.array(F.lit("")), tokenize(body(chunks))).alias("terms"))
     rows = terms.select("doc_id", (F.size("terms") - 1).alias("length"), F.explode_outer("terms").alias("term"))
     # every use reads the same columns and rows, so that the exchange below is shared
     tf = _frequencies(rows, wanted)

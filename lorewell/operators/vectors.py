@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorewell.sources.shared import held
+
 #: Question vectors that one pass compares; more take one pass for each block of so many.
 BLOCK = 4096
 #: Vectors that are compared at once.
@@ -21,9 +23,10 @@ def scores(metric: str, rows: np.ndarray, questions: np.ndarray) -> np.ndarray:
     """(rows, questions): larger is nearer. Cosine, inner product, or the negative Euclidean distance."""
     if metric == "l2":
         square = (rows * rows).sum(1)[:, None] + (questions * questions).sum(1)[None, :] - 2 * (rows @ questions.T)
-        near = np.argwhere(square < 1e-6 * ((rows * rows).sum(1)[:, None] + 1))  # where the difference of squares says little
-        for i, j in near:
-            square[i, j] = ((rows[i] - questions[j]) ** 2).sum()
+        i, j = np.nonzero(square < 1e-6 * ((rows * rows).sum(1)[:, None] + 1))  # where the difference of squares says little
+        for at in range(0, len(i), 1 << 16):
+            own, other = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            square[own, other] = ((rows[own] - questions[other]) ** 2).sum(1)
         return 0.0 - np.sqrt(np.maximum(square, 0.0))
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -31,7 +34,7 @@ def scores(metric: str, rows: np.ndarray, questions: np.ndarray) -> np.ndarray:
     return rows @ questions.T
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
+def matrix(column: pa.Array, size: int) -> np.ndarray:
     """float64 rows; a null or a vector of another length is all NaN."""
     out = np.full((len(column), size), np.nan)
     sizes = np.array([-1 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()])
@@ -51,13 +54,13 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cos
     them is broadcast and multiplied with each batch, which sends on its k best for
     each question only. A vector without a comparable length is never near.
     """
-    n = questions.count()
-    ordered = questions.select("query_id", "qvec").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // BLOCK)))))
+    named = questions.select("query_id", "qvec")
+    few = named.limit(BLOCK + 1).collect()  # one block, if that is all
+    blocks = [few] if len(few) <= BLOCK else _blocks(named)
     kind = questions.schema["query_id"].dataType.simpleString()
     id_kind = vectors.schema["doc_id"].dataType.simpleString()
     parts = []
-    for block in range(max(1, -(-n // BLOCK))):
-        found = ordered.where(F.col("_block") == block).select("query_id", "qvec").collect()  # about BLOCK rows
+    for found in blocks:
         found = [r for r in found if r.qvec]
         for size in sorted({len(r.qvec) for r in found}):
             own = [r for r in found if len(r.qvec) == size]
@@ -68,25 +71,40 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cos
     return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _blocks(questions: DataFrame) -> Iterator[list]:
+    """The questions in blocks of about BLOCK; they are dealt out once, and each block reads its own partition."""
+    n = questions.count()
+    dealt = held(questions.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK)))))
+    for block in range(-(-n // BLOCK)):
+        yield dealt.where(F.col("_block") == block).drop("_block").collect()  # about BLOCK rows
+
+
+def best(value: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Where the k largest finite values are; of those equal to the last, the ones with the smallest ids."""
+    fine = np.flatnonzero(np.isfinite(value))
+    if len(fine) <= k:
+        return fine
+    last = np.partition(value[fine], len(fine) - k)[len(fine) - k]
+    over, ties = fine[value[fine] > last], fine[value[fine] == last]
+    return np.concatenate([over, ties[np.argsort(ids[ties], kind="stable")[: k - len(over)]]])
+
+
 def _pass(vectors: DataFrame, ids: list, asked: np.ndarray, k: int, metric: str, schema: str) -> DataFrame:
     spread = vectors.sparkSession.sparkContext.broadcast((ids, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = spread.value
+        names, asked_rows = spread.value
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                rows = _matrix(part.column("vec"), matrix.shape[1])
-                value = np.round(scores(metric, rows, matrix), 6)
+                rows = matrix(part.column("vec"), asked_rows.shape[1])
+                value = np.round(scores(metric, rows, asked_rows), 6)
                 value = np.where(np.isnan(value), -np.inf, value)
                 doc = part.column("doc_id").to_numpy(zero_copy_only=False)
                 out: list[tuple[np.ndarray, np.ndarray]] = []
                 for q in range(len(names)):
-                    own = value[:, q]
-                    best = np.flatnonzero(np.isfinite(own))
-                    if len(best) > k:  # and what ties with the last of them
-                        best = best[own[best] >= np.partition(own[best], len(best) - k)[len(best) - k]]
-                    out.append((np.full(len(best), q), best))
+                    at = best(value[:, q], doc, k)
+                    out.append((np.full(len(at), q), at))
                 which, at = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in which], batch_kind(names)), pa.array(doc[at]), pa.array(value[at, which])], ["query_id", "doc_id", "score"])
 
