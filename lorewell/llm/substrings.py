@@ -16,7 +16,10 @@ with probability J.
    keys are then packed by hash segment and shuffled once. A holder of a key meets
    the key's first holder, or the last in every other band, not all others. Those
    who met a last holder are verified after the others, and only where the passage
-   around the key is still open.
+   around the key is still open. Exact stretches of `min_words` words have keys of
+   their own, the least hash of every `exact_step` neighbours: holders of such a key
+   do repeat its first holder, so an exact passage of min_words + exact_step - 1
+   words is found however many edited copies hold the other keys.
 2. Pairs of texts, with the offsets at which their keys meet, are verified in
    tasks of one such holder and up to `members` others. Shingles that both have
    near one of the offsets form runs; runs are chained over gaps and over
@@ -57,6 +60,8 @@ class SubstringParams:
     threshold: float = 0.8
     #: Pairs of hash functions.
     bands: int = 4
+    #: Neighbouring exact stretches of which one has a key.
+    exact_step: int = 11
     block_bytes: int = 8 << 20
     segment_bytes: int = 4 << 20
     max_segments: int = 1 << 20
@@ -95,6 +100,24 @@ def compact_windows(value: np.ndarray, bounds: np.ndarray, width: int) -> tuple[
     return left[order], centre[order], right[order]
 
 
+def _exact(s: np.ndarray, bounds: np.ndarray, tie: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of the exact stretches that have the least hash among `exact_step` neighbours somewhere."""
+    step, most = p.exact_step, np.uint64(0xFFFFFFFFFFFFFFFF)
+    if len(s) < p.width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(s), dtype=np.uint64)])
+    stretch = common.mix(sums[p.width :] - sums[: len(sums) - p.width])
+    n = len(stretch)
+    inside = np.arange(n) + p.width <= bounds[np.searchsorted(bounds, np.arange(n), "right")]
+    # stretches over a text's end are never the least; there are more of them between texts than neighbours
+    value = np.full(n + 2 * (step - 1), most)
+    value[step - 1 : step - 1 + n] = np.where(inside, stretch & ~np.uint64(0xFFFF) | tie[:n], most)
+    low = np.lib.stride_tricks.sliding_window_view(value, step).min(1)
+    high = np.lib.stride_tricks.sliding_window_view(np.where(low == most, np.uint64(0), low), step).max(1)
+    at = np.flatnonzero(inside & (value[step - 1 : step - 1 + n] == high))
+    return common.mix(stretch[at] + np.uint64(0x51)) & ~np.uint64(1), at
+
+
 def _keys(s: np.ndarray, bounds: np.ndarray, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, place of its first centre, is its band odd) from the joined windows of all bands."""
     tie = common.mix(np.arange(len(s), dtype=np.uint64)) & np.uint64(0xFFFF)
@@ -112,6 +135,9 @@ def _keys(s: np.ndarray, bounds: np.ndarray, p: SubstringParams) -> tuple[np.nda
         key = common.mix(common.mix(s[one] + seed(2 * band)) + s[two]) & ~np.uint64(1) | np.uint64(band & 1)
         keys.append(key)
         places.append(one)
+    key, one = _exact(s, bounds, tie, p)
+    keys.append(key)
+    places.append(one)
     key, place = np.concatenate(keys), np.concatenate(places)
     order = np.lexsort((key, place))
     key, place = key[order], place[order]

@@ -193,3 +193,32 @@ def test_many_holders_of_a_near_passage(spark):
     base = words(100)
     docs = [(k, " ".join(words(20) + [*base[: k % 98], word(), *base[k % 98 + 1 :]] + words(20))) for k in range(80)]
     assert len({r.doc_id for r in run(spark, docs)}) >= 0.95 * len(docs)
+
+
+@pytest.mark.parametrize("changed", [1, 2, 3, 0])
+def test_exact_repeats_behind_edited_copies(spark, changed):
+    """Two documents share 60 words; 40 others hold them with some changed, or (0) the first 49 only. Nearly all of the two have the whole passage as a span, and all of them most of it."""
+    rng = random.Random(20 + changed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    docs, wanted = [], {}
+    for g in range(12):
+        passage = [word() for _ in range(60)]
+        for m in range(42):
+            own = list(passage)
+            if m not in (20, 21):
+                own = own[:49] if not changed else own
+                for k in rng.sample(range(60), changed):
+                    own[k] = word()
+            before = [word() for _ in range(rng.randrange(5, 60))]
+            doc = g * 100 + m
+            docs.append((doc, " ".join([*before, *own, *(word() for _ in range(rng.randrange(5, 60)))])))
+            if m in (20, 21):
+                wanted[doc] = (len(before), len(before) + 60)
+    rng.shuffle(docs)
+    spans = {}
+    for r in substrings.find_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect():
+        spans.setdefault(r.doc_id, []).append((r.begin_word, r.end_word))
+    whole = [d for d, (a, b) in wanted.items() if any(x <= a and b <= y for x, y in spans.get(d, []))]
+    most = [d for d, (a, b) in wanted.items() if any(min(b, y) - max(a, x) >= 49 for x, y in spans.get(d, []))]
+    # a copy that has 50 of the words unchanged may stand in for the other one, up to there
+    assert len(whole) >= 0.9 * len(wanted) and len(most) == len(wanted)
