@@ -61,6 +61,16 @@ def _letters() -> np.ndarray:
     return table
 
 
+def _alphabetic() -> np.ndarray:
+    """Which code points are letters; a text without any is of no language, whatever marks it has."""
+    if "alphabetic" not in _made:
+        table = np.zeros(0x110000, bool)
+        table[:0x20000] = [chr(c).isalpha() for c in range(0x20000)]
+        table[0x20000:0x323B0] = True
+        _made["alphabetic"] = table
+    return _made["alphabetic"]
+
+
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, n-gram) of every position of every text, n = 1 to 3."""
     chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -148,7 +158,7 @@ def predict(documents: DataFrame, ranks: DataFrame, params: LanguageParams = Lan
             pred, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
             for d in range(part.num_rows):
                 own = gram[starts[d] : starts[d + 1]]
-                if not names or not (own >> _BITS == 0).any() or not (own > _SPACE).any():
+                if not names or not _alphabetic()[own[own >> _BITS == 0]].any():
                     continue
                 top = _top(own, size)
                 row = np.minimum(np.searchsorted(grams, top), len(grams) - 1)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import corpus_pipeline
@@ -89,7 +90,9 @@ def test_mixing_reaches_its_target(spark):
 
 def grams(text):
     """Codes of the 1- to 3-grams of a text's letters, words set apart by single spaces."""
-    own = "".join(c.lower() if c.isalpha() else " " for c in text or "")
+    if not any(c.isalpha() for c in text or ""):
+        return []
+    own = "".join(c.lower() if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text)
     own = " " + " ".join(own.split()) + " "
     code = lambda g: int("".join(f"{1 if c == ' ' else ord(c):021b}" for c in g), 2)
     return [code(own[k : k + n]) for n in (1, 2, 3) for k in range(len(own) - n + 1) if (n > 1 or own[k] != " ") and (n < 3 or own[k + 1] != " ")] if own.strip() else []
@@ -104,7 +107,7 @@ def test_predicted_language_is_the_nearest_profile(spark):
     rng = random.Random(4)
     letters = {"aa": "abcdeabcab", "bb": "abdefghaab", "cc": "éèabcxéé"}
     docs = [(k, " ".join("".join(rng.choices(letters[lang], k=rng.randrange(1, 7))) for _ in range(rng.randrange(1, 12))), lang) for k, lang in enumerate(rng.choices(list(letters), k=60))]
-    docs += [(60, "same Same", "aa"), (61, "same Same", "bb"), (62, "123 !", "aa"), (63, None, "aa"), (64, "zzz", None), (64, "zzz", None)]
+    docs += [(60, "same Same", "aa"), (61, "same Same", "bb"), (62, "123 !", "aa"), (63, None, "aa"), (64, "zzz", None), (64, "zzz", None), (65, "\u0301 \u0301", None), (66, "a\u0301 " * 50_000, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     p = language.LanguageParams(profile_size=size)
     got = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(d, language.profiles(d, p), p).collect())
