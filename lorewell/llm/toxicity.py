@@ -1,11 +1,13 @@
 """Toxicity: FTRL-proximal logistic regression over hashed n-grams and skip-grams.
 
 Each text becomes the set of its hashed features: words, pairs of neighbours
-and pairs with one word between. Training runs in one task over a bounded
-sample of the labelled rows (`max_train_docs`, the rows with the smallest hash
-of their id), with a learning rate for each coordinate and L1, which leaves few
-weights. They are the only thing sent to the workers: at most 2**bits of them.
-Scoring is one pass over the documents without any shuffle.
+and pairs with one word between. Training passes over a bounded sample of the
+labelled rows (`max_train_docs`, the rows with the smallest hash of their id) with a
+learning rate for each coordinate and L1, which leaves few weights. The rows are
+written once with all their features; an epoch is one task that streams them in one
+order and holds the sums alone, which go from epoch to epoch. The weights are the
+only thing sent to the workers: at most 2**bits of them. Scoring is one pass over
+the documents without any shuffle. Ids may be of any type.
 
 Edge cases: a null or empty text has no feature and gets the score of the
 intercept; a label of a missing document, a null label and a null doc_id are not
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +38,8 @@ class ToxicityParams:
     l1: float = 3.0
     l2: float = 1.0
     epochs: int = 3
-    #: Bounds on the labelled rows that are learnt from, and on the features of each, those with the smallest hashes.
+    #: Bound on the labelled rows that are learnt from, those with the smallest hashes; each with all its features.
     max_train_docs: int = 20_000
-    max_train_features: int = 4096
     threshold: float = 0.3
 
 
@@ -63,69 +65,79 @@ def _features(h: np.ndarray, bounds: np.ndarray, bits: int) -> Iterator[tuple[np
             yield own[:-gap][same], (pair[same] >> shift).astype(np.int64)
 
 
-def ftrl(rows: list[tuple[int, np.ndarray]], p: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Weights and intercept after passes over (label, distinct features)."""
-    z, n = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
-    z0 = n0 = 0.0
+class Ftrl:
+    """Sums of gradients and of their squares for each coordinate and for the intercept."""
 
-    def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(zi) <= p.l1, 0.0, (np.sign(zi) * p.l1 - zi) / ((p.beta + np.sqrt(ni)) / p.alpha + p.l2))
+    def __init__(self, p: ToxicityParams, state: bytes | None = None) -> None:
+        self.p = p
+        both = np.zeros((2, (1 << p.bits) + 1)) if state is None else np.frombuffer(state).reshape(2, -1).copy()
+        self.z, self.n = both  # the intercept comes last
 
-    def intercept() -> float:
-        return -z0 / ((p.beta + n0**0.5) / p.alpha)
+    def state(self) -> bytes:
+        return np.stack([self.z, self.n]).tobytes()
 
-    for _ in range(p.epochs):
-        for label, idx in rows:
-            w, b = weights(z[idx], n[idx]), intercept()
-            prob = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35)))
-            g = prob - label
-            sigma = (np.sqrt(n[idx] + g * g) - np.sqrt(n[idx])) / p.alpha
-            z[idx] += g - sigma * w
-            n[idx] += g * g
-            z0 += g - (((n0 + g * g) ** 0.5 - n0**0.5) / p.alpha) * b
-            n0 += g * g
-    return weights(z, n), float(intercept())
+    def weights(self, idx: np.ndarray | slice = slice(None, -1)) -> np.ndarray:
+        p, z, n = self.p, self.z[idx], self.n[idx]
+        return np.where(np.abs(z) <= p.l1, 0.0, (np.sign(z) * p.l1 - z) / ((p.beta + np.sqrt(n)) / p.alpha + p.l2))
+
+    def intercept(self) -> float:
+        return float(-self.z[-1] / ((self.p.beta + self.n[-1] ** 0.5) / self.p.alpha))
+
+    def learn(self, label: int, idx: np.ndarray) -> None:
+        """One row of distinct features."""
+        w, b = self.weights(idx), self.intercept()
+        g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - label
+        for at, weight in ((idx, w), (-1, b)):
+            n = self.n[at]
+            self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.p.alpha * weight
+            self.n[at] = n + g * g
 
 
 def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Learns from the labelled rows of `labels` (doc_id, toxic), at most `max_train_docs` of them."""
     p = params
+    key = F.col("doc_id").cast("string")
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_train_docs)
-        .select(F.col("doc_id").alias("k"), "label")
+        .groupBy(key.alias("k")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+        .orderBy(F.xxhash64("k"), "k").limit(p.max_train_docs)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("k")).select("doc_id", "label", "text")
-
-    def bounded(idx: np.ndarray) -> np.ndarray:
-        if len(idx) <= p.max_train_features:
-            return idx
-        return idx[np.argpartition(common.mix(idx.astype(np.uint64) + np.uint64(1)), p.max_train_features)[: p.max_train_features]]
+    rows = documents.select(key.alias("key"), "text").join(F.broadcast(sample), F.col("key") == F.col("k")).select("key", "label", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
             h, _, _, bounds = common.words(*common.text_arrays(part.column("text")))
             both = np.unique(np.concatenate([own << p.bits | f for own, f in _features(h, bounds, p.bits)]))
             idx, starts = (both & ((1 << p.bits) - 1)).astype(np.int32), np.searchsorted(both >> p.bits, np.arange(part.num_rows + 1))
-            blobs = [bounded(idx[a:b]).tobytes() for a, b in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "label", "features"])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
-        found.sort(key=lambda x: (x[0] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, x[2]))
-        rows = [(label, np.frombuffer(blob, np.int32)) for _, label, blob in found]
-        w, b = ftrl(rows, p) if rows else (np.zeros(1 << p.bits), -40.0)
-        kept = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array([kept.astype(np.int32).tobytes()], pa.binary()), pa.array([w[kept].astype(np.float32).tobytes()], pa.binary()), pa.array([b])], ["idx", "w", "b"])
-
-    encoded = rows.mapInArrow(encode, "doc_id long, label int, features binary")
-    # a doc_id that repeats is learnt from once, so that rows are bounded as ids are
-    encoded = encoded.groupBy("doc_id", "label").agg(F.min("features").alias("features")).coalesce(1)
-    got = encoded.mapInArrow(learn, "idx binary, w binary, b double").collect()  # one row of at most 8 * 2**bits bytes
-    if not got:
-        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), -40.0, p.bits)
-    return ToxicityModel(np.frombuffer(got[0].idx, np.int32), np.frombuffer(got[0].w, np.float32), got[0].b, p.bits)
+            blobs = [idx[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label").cast(pa.int32()), pa.array(blobs, pa.binary())], ["key", "label", "features"])
+
+    # an id that repeats is learnt from once, so that rows are bounded as ids are
+    encoded = rows.mapInArrow(encode, "key string, label int, features binary").groupBy("key", "label").agg(F.min("features").alias("features"))
+    stored = common.write_shared(encoded)
+    ordered = stored.coalesce(1).sortWithinPartitions(F.xxhash64("key"), "key", "label").select("label", "features")
+    state, spark = None, documents.sparkSession
+    for _ in range(p.epochs):  # each passes over the rows in one order; a task holds the sums and a batch
+        spread = spark.sparkContext.broadcast(state)
+
+        def learn(batches: Iterator[pa.RecordBatch], spread: Broadcast = spread) -> Iterator[pa.RecordBatch]:
+            model, seen = Ftrl(p, spread.value), 0
+            for b in batches:
+                for label, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                    model.learn(label, np.frombuffer(blob.as_buffer(), np.int32))
+                    seen += 1
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([model.state()], pa.binary())], ["state"])
+
+        got = ordered.mapInArrow(learn, "state binary").collect()  # one row of 16 * 2**bits bytes
+        if not got:
+            return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), -40.0, p.bits)
+        state = bytes(got[0].state)
+        spread.unpersist()
+    model = Ftrl(p, state)
+    weight = model.weights()
+    kept = np.flatnonzero(weight)
+    return ToxicityModel(kept.astype(np.int32), weight[kept].astype(np.float32), model.intercept(), p.bits)
 
 
 def score(documents: DataFrame, model: ToxicityModel, columns: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

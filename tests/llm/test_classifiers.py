@@ -1,9 +1,13 @@
 """Toxicity and language on held-out rows, and their edge cases."""
 
+import math
+import random
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lorewell.llm import language, toxicity
+from lorewell.llm import common, language, toxicity
 
 DATA = "/root/testdata/sf0.1"
 
@@ -35,10 +39,55 @@ def test_ftrl_is_sparse_and_right():
     for _ in range(600):
         label = int(rng.random() < 0.3)
         rows.append((label, np.unique(np.concatenate([rng.integers(100, 1 << 20, 40), [7] if label else []]).astype(np.int64))))
-    w, b = toxicity.ftrl(rows, toxicity.ToxicityParams())
+    model = toxicity.Ftrl(toxicity.ToxicityParams())
+    for _ in range(3):
+        for label, idx in rows:
+            model.learn(label, idx)
+        model = toxicity.Ftrl(model.p, model.state())  # as from one epoch to the next
+    w, b = model.weights(), model.intercept()
     assert w[7] > 2 and b < 0 and (w != 0).sum() < 200
 
 
+def plain_features(text, bits):
+    """Words, neighbours and pairs over one word as places, one word at a time."""
+    h = [int(x) for x in common.words(*common.text_arrays(pa.array([text])))[0]]
+    mixed = lambda x: int(common.mix(np.array([x % 2**64], np.uint64))[0])
+    pairs = [mixed(a * seed + b) for gap, seed in ((1, 0xA0761D6478BD642F), (2, 0xE7037ED1A0B428DB)) for a, b in zip(h, h[gap:])]
+    return {x >> (64 - bits) for x in h + pairs}
+
+
+def test_scores_are_those_of_a_plain_loop(spark):
+    """Strings as ids, one text of 60,000 words; all its features count."""
+    rng = random.Random(5)
+    p = toxicity.ToxicityParams(l1=0.5)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(f"d{k}", " ".join(rng.choices(words, k=rng.randrange(0, 25))) + (" bad" if k % 3 == 0 else "")) for k in range(60)] + [("long", " ".join(f"x{rng.randrange(30_000)}" for _ in range(60_000)))]
+    labels = [(i, int(t.endswith("bad"))) for i, t in docs]
+    d = spark.createDataFrame(docs, "doc_id string, text string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id string, toxic int"), p)
+    got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
+    order = [r.k for r in spark.createDataFrame(labels, "k string, toxic int").orderBy(F.xxhash64("k"), "k").collect()]
+    texts, known, z, n = dict(docs), dict(labels), {}, {}
+    features = {i: plain_features(t, p.bits) | {"one"} for i, t in docs}
+
+    def weight(f):
+        a, b = z.get(f, 0.0), n.get(f, 0.0)
+        if f == "one":
+            return -a / ((p.beta + b**0.5) / p.alpha)
+        return 0.0 if abs(a) <= p.l1 else (math.copysign(p.l1, a) - a) / ((p.beta + b**0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for i in order:
+            now = {f: weight(f) for f in features[i]}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(now.values()))))) - known[i]
+            for f, w in now.items():
+                z[f] = z.get(f, 0.0) + g - ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / p.alpha * w
+                n[f] = n.get(f, 0.0) + g * g
+    assert len(features["long"]) > 100_000 and texts
+    for i, score in got.items():
+        assert abs(score - 1 / (1 + math.exp(-sum(weight(f) for f in features[i])))) < 1e-5
+
+
 def test_language_held_out(spark):
     rows = language.op5_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert rows.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
