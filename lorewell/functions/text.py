@@ -158,6 +158,19 @@ def canonical_id(c: Column) -> Column:
     return F.when(n.rlike(r"\A[0-9]{1,18}\z") & ~n.rlike(r"\A0+\z"), F.regexp_replace(n, r"\A0+", ""))
 
 
+def canonical_ids(ids: Column, limit: int | None = None) -> Column:
+    """The valid ids of a list in canonical form, each once, in their order; more than `limit` of them is an error."""
+    found = F.array_distinct(F.filter(F.transform(ids, canonical_id), lambda x: x.isNotNull()))
+    return found if limit is None else F.when(F.size(found) > limit, F.raise_error(F.lit(f"more than {limit} ids"))).otherwise(found)
+
+
+def aligned(values: Column, n: Column, broadcast_single: bool = False, size: int | None = None) -> Column:
+    """A list of n trimmed values, '' where there is none; a single one stands for all if asked for. Longer than `size` bytes is an error."""
+    one = (F.size(values) == 1) if broadcast_single else F.lit(False)
+    out = F.transform(F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), n), lambda i: F.coalesce(trim_ws(F.get(values, F.when(one, F.lit(0)).otherwise(i))), F.lit("")))
+    return out if size is None else F.when(F.exists(out, lambda x: F.octet_length(x) > size), F.raise_error(F.lit(f"a value is longer than {size} bytes"))).otherwise(out)
+
+
 def leading_digits(c: Column) -> Column:
     """The number that a text begins with; 0 if it begins with none, or one that is too large."""
     return F.coalesce(F.regexp_extract(c, r"\A([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))

@@ -43,8 +43,10 @@ def quota(used: DataFrame, tenants: DataFrame, limit: Column, kind: str) -> Data
 
 
 def get_or_create(existing: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
-    """The existing rows, and those wanted whose keys none of them has; columns that are missing are null."""
-    fresh = wanted.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """The existing rows, and those wanted whose keys none of them has; columns that are missing are null, and a null key is a key like any other."""
+    there = existing.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    fresh = wanted.dropDuplicates(list(keys)).join(there, same, "left_anti")
     return existing.withColumn("created", F.lit(False)).unionByName(fresh.withColumn("created", F.lit(True)), allowMissingColumns=True)
 
 
@@ -126,6 +128,54 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def build_history(builds: DataFrame, limit: int = 0) -> DataFrame:
+    """Each document's newest builds first; a limit of 0 or less, or above 200, means 100."""
+    order = Window.partitionBy("document_id").orderBy(F.desc("triggered_at"), F.desc("id"))
+    return builds.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= (limit if 0 < limit <= 200 else 100))
+
+
+OPEN = ("pending", "indexing")
+
+
+def log_builds(builds: DataFrame, events: DataFrame) -> DataFrame:
+    """The build log (id, document_id, status, triggered_at, finished_at, error) after events (document_id, seq, kind, status, at, error).
+
+    ensure: opens a pending build if the document has no open one. begin: the open
+    build is indexing now, or a new one is. note: the open build gets an error.
+    finish: the open build ends with the event's status and error; without an open
+    one nothing happens. Events of a document are folded in order of `seq`, from its
+    newest open build; ids of new builds follow the largest there is.
+    """
+    order = Window.partitionBy("document_id").orderBy(F.desc("triggered_at"), F.desc("id"))
+    is_open = F.col("status").isin(*OPEN)
+    latest = builds.where(is_open).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    row = "struct<id: bigint, status: string, triggered_at: timestamp, finished_at: timestamp, error: string>"
+    start = latest.select("document_id", F.struct("id", "status", F.col("triggered_at").cast("timestamp"), F.col("finished_at").cast("timestamp"), "error").cast(row).alias("now"))
+    steps = events.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "status", F.col("at").cast("timestamp").alias("at"), "error"))).alias("steps"))  # what one batch says of a document
+    none = F.lit(None)
+    made = lambda status, at: F.struct(none.cast("bigint").alias("id"), F.lit(status).alias("status"), at.alias("triggered_at"), none.cast("timestamp").alias("finished_at"), none.cast("string").alias("error"))
+    changed = lambda now, **new: F.struct(*(new.get(c, now[c]).alias(c) for c in ("id", "status", "triggered_at", "finished_at", "error")))
+
+    def fold(acc: Column, e: Column) -> Column:
+        now, done = acc["now"], acc["done"]
+        begun = F.when(now.isNull(), made("indexing", e["at"])).otherwise(changed(now, status=F.lit("indexing")))
+        after = (
+            F.when(e["kind"] == "ensure", F.coalesce(now, made("pending", e["at"]))).when(e["kind"] == "begin", begun)
+            .when(now.isNull(), now).when(e["kind"] == "note", changed(now, error=e["error"])).when(e["kind"] == "finish", F.lit(None).cast(row)).otherwise(now)
+        )
+        ended = F.when((e["kind"] == "finish") & now.isNotNull(), F.concat(done, F.array(changed(now, status=e["status"], finished_at=e["at"], error=F.coalesce(e["error"], now["error"]))))).otherwise(done)
+        return F.struct(after.cast(row).alias("now"), ended.cast(f"array<{row}>").alias("done"))
+
+    folded = steps.join(start, "document_id", "left").withColumn("r", F.aggregate("steps", F.struct(F.col("now"), F.array().cast(f"array<{row}>").alias("done")), fold))
+    out = folded.select("document_id", F.explode(F.concat(F.col("r.done"), F.filter(F.array("r.now"), lambda x: x.isNotNull()))).alias("b")).select("document_id", "b.*")
+    kept = builds.select("id", "document_id", "status", F.col("triggered_at").cast("timestamp").alias("triggered_at"), F.col("finished_at").cast("timestamp").alias("finished_at"), "error")
+    fresh, old = out.where("id IS NULL"), out.where("id IS NOT NULL")
+    most = builds.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
+    # new builds are few beside the log: one for each document and opening
+    numbered = fresh.withColumn("_k", F.row_number().over(Window.orderBy("triggered_at", "document_id"))).join(F.broadcast(most)).withColumn("id", F.col("most") + F.col("_k")).select(*kept.columns)
+    return kept.join(old.select("id"), "id", "left_anti").unionByName(old.select(*kept.columns)).unionByName(numbered)
+
+
 def index_build_dedup(builds: DataFrame, seconds: int = 2) -> DataFrame:
     """Drops a build that began less than `seconds` after an earlier id with the same document, status and end.
 

@@ -8,14 +8,20 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorewell.sources.buckets import BucketTable
+from lorewell.sources.shared import held, marks, release
+
 
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
@@ -82,21 +88,47 @@ def with_retries(call: Callable, retryable: Callable[[Exception], bool], retries
     raise AssertionError
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = 16, retries: int = 2, retryable: Callable[[Exception], bool] = lambda e: False) -> DataFrame:
-    """chunks with a column `embedding`, `batch` texts in each call."""
+def overlapped(calls: Iterator[Callable], width: int) -> Iterator:
+    """Results of the calls in their order, at most `width` running at once; no call begins `width` ahead of the result that is waited for."""
+    with ThreadPoolExecutor(width) as pool:
+        running: deque = deque()
+        for call in calls:
+            running.append(pool.submit(call))
+            if len(running) == width:
+                yield running.popleft().result()
+        while running:
+            yield running.popleft().result()
+
+
+def embed_chunks(chunks: DataFrame, embedder: Embedder, batch: int = 16, retries: int = 2, retryable: Callable[[Exception], bool] = lambda e: False, concurrency: int = 2) -> DataFrame:
+    """chunks with a column `embedding`, `batch` texts in each call and at most `concurrency` calls of a task at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            texts, out = rows["content"].tolist(), []
-            for k in range(0, len(texts), batch):
-                out += with_retries(lambda part=texts[k : k + batch]: embedder.embed(part), retryable, retries)
-            yield rows.assign(embedding=out)
+            texts = rows["content"].tolist()
+            parts = (texts[k : k + batch] for k in range(0, len(texts), batch))
+            calls = ((lambda part=part: with_retries(lambda: embedder.embed(part), retryable, retries)) for part in parts)
+            yield rows.assign(embedding=[v for found in overlapped(calls, concurrency) for v in found])
 
     return chunks.mapInPandas(run, T.StructType([*chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
-def shrink_summary(summary: str, cost: Callable[[str], int], budget: int) -> str:
-    """Cut to three quarters until it fits; 32 characters or fewer go entirely."""
-    while summary and cost(summary) > budget:
-        summary = "" if len(summary) <= 32 else summary[: len(summary) * 3 // 4] + "…"
-    return summary
+def embedding_cache(path: str, buckets: int = 64) -> BucketTable:
+    """A table of vectors by the digest of their text."""
+    return BucketTable(path, ("digest",), T.StructType([T.StructField("digest", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]), buckets)
+
+
+def embed_once(chunks: DataFrame, embedder: Embedder, cache: BucketTable, **how: object) -> DataFrame:
+    """chunks with a column `embedding`: each text that the cache does not have is embedded once, and kept there.
+
+    `how` goes to `embed_chunks`. Only buckets of digests that are asked for are
+    read, and only those of new ones rewritten.
+    """
+    spark, since = chunks.sparkSession, marks()
+    keyed = chunks.withColumn("_digest", F.sha2(F.coalesce("content", F.lit("")), 256))
+    texts = held(keyed.groupBy(F.col("_digest").alias("digest")).agg(F.first(F.coalesce("content", F.lit(""))).alias("content")))
+    stored = cache.read(spark, cache.touched(texts)).select("digest")
+    fresh = held(embed_chunks(texts.join(stored, "digest", "left_anti"), embedder, **how).select("digest", "embedding"))
+    cache.upsert(fresh)
+    release(since)
+    return keyed.join(cache.read(spark).withColumnRenamed("digest", "_digest"), "_digest", "left").drop("_digest")

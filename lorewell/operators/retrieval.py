@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorewell.functions.rules import tool_query
+from lorewell.functions.text import canonical_id, preview
 from lorewell.operators import fusion, lexical, vectors
 from lorewell.operators.models import Expander, Reranker
 from lorewell.sources.parameters import Parameters
@@ -143,6 +144,31 @@ def merge_rounds(rounds: DataFrame) -> DataFrame:
     return first.select("answer_id", F.row_number().over(order).cast("bigint").alias("number"), "chunk_id", "f.round", "f.rank")
 
 
+def agent_hits(rounds: DataFrame, cited: DataFrame) -> DataFrame:
+    """(answer_id, round, rank, doc_id, chunk_index, cited): every hit of an answer's rounds (answer_id, round, rank, chunk_id, doc_id, chunk_index).
+
+    A hit is cited if its chunk's number over all rounds is among `cited` (answer_id,
+    number). Hits without a valid document id are left out, their numbers stay.
+    """
+    numbers = merge_rounds(rounds).select("answer_id", "chunk_id", "number")
+    told = numbers.join(cited.select("answer_id", "number").distinct().withColumn("cited", F.lit(True)), ["answer_id", "number"], "left").select("answer_id", "chunk_id", F.coalesce("cited", F.lit(False)).alias("cited"))
+    hits = rounds.join(told, ["answer_id", "chunk_id"]).select("answer_id", "round", "rank", canonical_id(F.col("doc_id")).alias("doc_id"), "chunk_index", "cited")
+    return hits.where("doc_id IS NOT NULL")
+
+
+def source_documents(chunks: DataFrame) -> DataFrame:
+    """(answer_id, n, title, preview, page, section): what is shown of an answer's sources (answer_id, n, title, content, page, section)."""
+    return chunks.select("answer_id", "n", "title", preview(F.col("content"), 300).alias("preview"), F.coalesce("page", F.lit(0)).cast("bigint").alias("page"), F.coalesce("section", F.lit("")).alias("section"))
+
+
+def prompt_contexts(chunks: DataFrame) -> DataFrame:
+    """(answer_id, context): the numbered sources of each answer as one text. A context is as long as a prompt may be."""
+    where = F.concat(F.when(F.col("page") > 0, F.concat(F.lit(" p."), "page")).otherwise(""), F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" "), "section")).otherwise(""))
+    block = F.concat(F.lit("["), "n", F.lit("] "), F.coalesce("title", F.lit("")), where, F.lit("\n"), F.coalesce("content", F.lit("")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("block")))), lambda x: x["block"])
+    return chunks.groupBy("answer_id").agg(F.array_join(listed, "\n\n").alias("context"))
+
+
 def agent_context(messages: DataFrame, question: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """(session_id, n, role, content): a session's summary first, its turns in order, the question last."""
     turns = messages.where(F.col("role").isin("user", "assistant") & (F.trim("content") != "")).select("session_id", F.lit(1).alias("part"), "id", "role", "content")

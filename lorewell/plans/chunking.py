@@ -1,10 +1,9 @@
-"""Queries: chunking of the corpus, structure splitting of inline texts."""
+"""Queries: chunking of the corpus."""
 
 from pyspark.sql import functions as F
 
 from lorewell.operators import chunking
 from lorewell.plans.registry import query
-from lorewell.sources.relations import values
 
 _PIECES = """SELECT doc_id, i AS chunk_index, regexp_replace(substring(text, CAST(i * 700 + 1 AS BIGINT), 800), '\\A[\\s\\x0b\\p{Z}\\x{85}]+|[\\s\\x0b\\p{Z}\\x{85}]+\\z', '', 'g') AS content FROM
  (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 800) / 700.0) AS BIGINT), 0) + 1)) AS i FROM (SELECT doc_id, regexp_replace(text, '\\A[\\s\\x0b\\p{Z}\\x{85}]+|[\\s\\x0b\\p{Z}\\x{85}]+\\z', '', 'g') AS text FROM documents) WHERE text <> '')"""
@@ -29,36 +28,3 @@ def chunk_recursive(t):
     """Chunks cut at line ends and sentence ends where these allow it; held against its definition in the tests."""
     chunks = chunking.chunk(t("documents").select("doc_id", F.lit("text").alias("format"), "text"), recursive=True)
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
-
-
-COLUMNS = "id long, format string, text string"
-TEXTS = [
-    (1, "markdown", "intro\n# One\nbody one\n## Two\n\n### Three\nbody three"), (2, "markdown", "# Only\nbody"), (3, "markdown", "plain text"), (4, "markdown", "##\nbare\n# X\ny"),
-    (5, "pdf", "lost\n## 第 1 页\nfirst\n## 第 2 页\n\n## 第 3 页\nthird"), (6, "pdf", "no marker"), (7, "xlsx", "## 工作表: A\na\tb\n## 工作表: B b \nc"), (8, "", "## 第 7 页\nx"), (9, "", "# H\na\n# I\nb"),
-    (10, "html", ""), (11, "text", "a\n# T\r\nb\n# U\nc"),
-]
-#: The sections, written out: text splitting by hand is the check of the expression.
-_SPLIT = [
-    (1, 0, "", 0, "intro"), (1, 1, "One", 0, "One\n\nbody one"), (1, 2, "Two", 0, "Two"), (1, 3, "Three", 0, "Three\n\nbody three"), (2, 0, "", 0, "# Only\nbody"), (3, 0, "", 0, "plain text"),
-    (4, 0, "bare", 0, "bare"), (4, 1, "X", 0, "X\n\ny"), (5, 0, "第 1 页", 1, "first"), (5, 1, "第 3 页", 3, "third"), (6, 0, "", 0, "no marker"), (7, 0, "工作表: A", 0, "a\tb"), (7, 1, "工作表: B b", 0, "c"),
-    (8, 0, "第 7 页", 7, "x"), (9, 0, "H", 0, "H\n\na"), (9, 1, "I", 0, "I\n\nb"), (11, 0, "", 0, "a"), (11, 1, "T", 0, "T\n\nb"), (11, 2, "U", 0, "U\n\nc"),
-]
-
-
-def _split(t):
-    rows = t.spark.createDataFrame(TEXTS, COLUMNS)
-    return rows.select("id", F.posexplode(chunking.split_structure(F.col("text"), F.col("format"))).alias("n", "s")).select("id", F.col("n").cast("bigint").alias("n"), "s.section", "s.page", "s.content")
-
-
-def _register(name, keep):
-    rows = [r for r in _SPLIT if r[0] in keep]
-
-    @query(name, "SELECT * FROM " + values("id long, n long, section string, page long, content string", rows))
-    def run(t):
-        return _split(t).where(F.col("id").isin(*keep))
-
-
-_register("split_headings", (1, 2, 3, 4, 11))
-_register("split_pages", (5, 6))
-_register("split_sheets", (7,))
-_register("split_route", tuple(range(1, 12)))

@@ -35,11 +35,17 @@ def reindex_replace(t):
 
 @query("feedback_merge", q(", now AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'up' ELSE 'down' END AS vote, CAST(id % 6 AS INT) AS score FROM messages WHERE role = 'assistant' AND id % 3 = 0), patch AS (SELECT id, CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN 'up' END AS vote, CASE WHEN id % 4 = 0 THEN 0 WHEN id % 4 = 1 THEN 5 END AS score FROM messages WHERE role = 'assistant' AND id % 2 = 0) SELECT coalesce(now.id, patch.id) AS id, coalesce(patch.vote, now.vote, '') AS vote, coalesce(patch.score, now.score, 0) AS score FROM now FULL JOIN patch ON now.id = patch.id WHERE coalesce(patch.vote, now.vote, '') <> '' OR coalesce(patch.score, now.score, 0) > 0", "messages"))
 def feedback_merge(t):
+    now, patch = feedback_rows(t)
+    merged = now.join(patch, "id", "full").select("id", F.coalesce("new_vote", "vote", F.lit("")).alias("vote"), F.coalesce("new_score", "score", F.lit(0)).alias("score"))
+    return merged.where((F.col("vote") != "") | (F.col("score") > 0))
+
+
+def feedback_rows(t):
+    """Stored votes and scores, and a patch of them: '' and 0 clear, null keeps."""
     m = t("messages").where("role = 'assistant'")
     now = m.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "up").otherwise("down").alias("vote"), (F.col("id") % 6).cast("int").alias("score"))
     patch = m.where("id % 2 = 0").select("id", F.when(F.col("id") % 5 == 0, "").when(F.col("id") % 5 == 1, "up").alias("new_vote"), F.when(F.col("id") % 4 == 0, 0).when(F.col("id") % 4 == 1, 5).alias("new_score"))
-    merged = now.join(patch, "id", "full").select("id", F.coalesce("new_vote", "vote", F.lit("")).alias("vote"), F.coalesce("new_score", "score", F.lit(0)).alias("score"))
-    return merged.where((F.col("vote") != "") | (F.col("score") > 0))
+    return now, patch
 
 
 @query("conversation_backfill", q("SELECT session_id, max(CASE WHEN tenant_id = 1 THEN 9 ELSE 0 END)::BIGINT AS old_kb, CASE WHEN max(CASE WHEN tenant_id = 1 THEN 9 ELSE 0 END) = 0 THEN max(tenant_id) ELSE 9 END AS knowledge_base_id FROM messages GROUP BY 1", "messages"))

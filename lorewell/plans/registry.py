@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Relations],
     return register
 
 
-for _module in ("quality", "catalog", "mutation", "retrieval", "chunking", "textual", "conversation", "service", "corpus"):
+for _module in ("quality", "catalog", "mutation", "retrieval", "chunking", "conversation", "service", "corpus", "stored", "twins"):
     import_module(f"lorewell.plans.{_module}")

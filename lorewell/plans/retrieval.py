@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import query_key, tokenize
-from lorewell.operators import fusion, lexical, models, quality, retrieval, vectors
+from lorewell.operators import ann, fusion, lexical, models, postings, quality, retrieval, vectors
 from lorewell.plans.registry import query
 from lorewell.sources.parameters import Parameters
+from lorewell.sources.shared import exists, scratch, shared_dir, signature
 
 _TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{Nd}}]+')"
-_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format(c="text")}[1:12])) AS term FROM benchmark),
+_BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK.format(c="text")})) AS term FROM benchmark),
  d AS (SELECT doc_id, {_TOK.format(c="text")} AS terms FROM documents), s AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d),
  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM d) GROUP BY 1, 2, 3),
  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -24,14 +25,25 @@ _DENSE = "dn AS (SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS doc_id,
 
 
 def questions(t):
-    """The first 12 words of each benchmark text."""
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokenize(F.col("text")), 1, 12), " ").alias("query"))
+    """Each benchmark text, its words apart by spaces."""
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tokenize(F.col("text")), " ").alias("query"))
 
 
 def corpus(t):
     return t("documents").select("doc_id", F.col("text").alias("content"))
 
 
+def index_of(t):
+    """The stored postings of the corpus as its files are now: built by the first search, read by the others."""
+    chunks = corpus(t)
+    path = f"{shared_dir(t.spark)}/postings-{signature(chunks)}"
+    return postings.load(t.spark, path) if exists(t.spark, f"{path}/learnt/_SUCCESS") else postings.build(chunks, path)
+
+
+def ranked(t, k):
+    return postings.search(index_of(t), questions(t), k)
+
+
 def dense(t, k, metric="cosine"):
     """Every vector whose id is divisible by 100, in blocks against all."""
     e = t("embeddings")
@@ -51,6 +63,12 @@ def bm25_postings(t):
 
 @query("bm25_search", "WITH " + _BM25.replace("@K", "5") + " SELECT * FROM bm")
 def bm25_search(t):
+    return ranked(t, 5)
+
+
+@query("bm25_scan", "WITH " + _BM25.replace("@K", "5") + " SELECT * FROM bm")
+def bm25_scan(t):
+    """The same search without a stored index: the chunks are read and counted for these questions."""
     return lexical.search(corpus(t), questions(t), 5)
 
 
@@ -65,6 +83,14 @@ def _dense_query(metric):
 for _metric in _METRIC:
     _dense_query(_metric)
 
+@query("ann_topk_cosine", "WITH " + _DENSE.format(metric=_METRIC["cosine"], k=10) + " SELECT * FROM dn")
+def ann_topk_cosine(t):
+    """By the stored index of cells and codes, scored again exactly. Tables of few cells are read whole and exact; recall of larger ones is measured in the tests."""
+    e = t("embeddings")
+    index = ann.build(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), scratch(t.spark, "ann"))
+    return ann.search(index, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 10)
+
+
 _FUSE = "SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS best FROM ({lists}) GROUP BY 1, 2"
 _RANKED = "SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, doc_id) AS rank FROM ({fused})"
 
@@ -76,13 +102,13 @@ _LISTS = "WITH " + _BM25.replace("@K", "20") + ", " + _DENSE.format(metric=_METR
 def rrf_hybrid(t):
     """Vector 100 q and benchmark item q ask the same question q; beyond the benchmark there is no sparse list."""
     found = dense(t, 20).withColumn("query_id", F.floor(F.col("query_id") / 100))
-    return fusion.hybrid(found, lexical.search(corpus(t), questions(t), 20), 60, 5)
+    return fusion.hybrid(found, ranked(t, 20), 60, 5)
 
 
 @query("rrf_multi_query", "WITH " + _BM25.replace("@K", "20") + ", v AS (SELECT query_id % 10 AS query_id, query_id AS variant, doc_id, rank FROM bm) SELECT * FROM (" + _RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM v")) + ") WHERE rank <= 5")
 def rrf_multi_query(t):
     """Items of the same last digit are variants of one question."""
-    return fusion.rrf([lexical.search(corpus(t), questions(t), 20).withColumn("query_id", F.col("query_id") % 10)], 60, 5)
+    return fusion.rrf([ranked(t, 20).withColumn("query_id", F.col("query_id") % 10)], 60, 5)
 
 
 _CASES = "c AS (SELECT bm.query_id AS case_id, bm.rank, contains(d.text, b.text) AS ok FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id)"
@@ -90,7 +116,7 @@ _SCORES = "SELECT item_id AS case_id, coalesce(bool_or(ok), FALSE) AS hit, coale
 
 
 def case_scores(t):
-    top = lexical.search(corpus(t), questions(t), 5)
+    top = ranked(t, 5)
     ranked = top.join(corpus(t), "doc_id").select(F.col("query_id").alias("case_id"), "rank", "content")
     return quality.case_scores(ranked, t("benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("criterion")))
 
@@ -113,17 +139,17 @@ def golden_match(t):
 
 
 _SHARED = "len(list_intersect(list_distinct({a}), list_distinct({b})))"
-_OVERLAP = _SHARED.format(a=_TOK.format(c="d.text"), b=_TOK.format(c="b.text") + "[1:12]")
+_OVERLAP = _SHARED.format(a=_TOK.format(c="d.text"), b=_TOK.format(c="b.text"))
 
 
 @query("rerank_overlap", "WITH " + _BM25.replace("@K", "20") + f", r AS (SELECT bm.query_id, bm.doc_id, bm.rank AS old, CAST({_OVERLAP} AS DOUBLE) AS score FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id) SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM r) WHERE rank <= 5")
 def rerank_overlap(t):
-    pool = lexical.search(corpus(t), questions(t), 20).join(corpus(t).withColumnRenamed("content", "text"), "doc_id").join(questions(t), "query_id")
+    pool = ranked(t, 20).join(corpus(t).withColumnRenamed("content", "text"), "doc_id").join(questions(t), "query_id")
     return retrieval.rerank(pool, models.OverlapReranker(), 5)
 
 
 _FLAGSHIP = f"""WITH c AS (SELECT doc_id, concat_ws(chr(10), source, text) AS body FROM documents WHERE lang = 'en'),
- q AS (SELECT item_id * 2 + v AS query_id, unnest(list_distinct({_TOK.format(c="text")}[1:if(v = 0, 12, 6)])) AS term FROM benchmark, range(2) r(v)),
+ q AS (SELECT item_id * 2 + v AS query_id, unnest(list_distinct(CASE WHEN v = 0 THEN {_TOK.format(c="text")} ELSE {_TOK.format(c="text")}[1:6] END)) AS term FROM benchmark, range(2) r(v)),
  d AS (SELECT doc_id, {_TOK.format(c="body")} AS terms FROM c), s AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d),
  tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM d) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2),
@@ -134,7 +160,7 @@ _FLAGSHIP = f"""WITH c AS (SELECT doc_id, concat_ws(chr(10), source, text) AS bo
  k AS (SELECT query_id, count(DISTINCT variant) AS n FROM h GROUP BY 1),
  g AS ({_RANKED.format(fused=_FUSE.format(lists="SELECT query_id, doc_id, rank FROM h JOIN k USING (query_id) WHERE n > 1"))}),
  p AS (SELECT query_id, doc_id, rank FROM g UNION ALL SELECT query_id, doc_id, rank FROM h JOIN k USING (query_id) WHERE n = 1),
- o AS (SELECT p.query_id, p.doc_id, p.rank AS old, CAST({_SHARED.format(a=_TOK.format(c="c.body"), b=_TOK.format(c="b.text") + "[1:12]")} AS DOUBLE) AS score FROM p JOIN c USING (doc_id) JOIN benchmark b ON b.item_id = p.query_id WHERE p.rank <= 20)
+ o AS (SELECT p.query_id, p.doc_id, p.rank AS old, CAST({_SHARED.format(a=_TOK.format(c="c.body"), b=_TOK.format(c="b.text"))} AS DOUBLE) AS score FROM p JOIN c USING (doc_id) JOIN benchmark b ON b.item_id = p.query_id WHERE p.rank <= 20)
  SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS rank FROM o) WHERE rank <= 5"""
 
 

@@ -1,22 +1,16 @@
-"""Golden cases from a file of JSON lines."""
+"""Golden cases from files of JSON lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lorewell.operators.quality import golden_cases
+from lorewell.sources.lines import SPLIT_BYTES, numbered, read_lines
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """The cases of a file, as `golden_cases` has them; a file without any is an error.
-
-    A golden set is written by hand, so the file is read whole and its lines are
-    numbered inside one row.
-    """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "raw")).select((F.col("n") + 1).cast("bigint").alias("line"), "raw")
-    cases = golden_cases(lines)
+def read_golden(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The cases of a file, as `golden_cases` has them; a file without any is an error. Lines are numbered across its splits."""
+    cases = golden_cases(numbered(read_lines(spark, path, split_bytes)).select("line", "raw"))
     if cases.isEmpty():
         raise ValueError(f"no case in {path}")
     return cases

@@ -46,32 +46,3 @@ class Relations:
 def with_inputs(sql: str, *names: str) -> str:
     """The derivations `names` in front of an oracle query."""
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({DERIVED[n]})" for n in names) + " " + sql
-
-
-def literal(x: object) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return "TRUE" if x else "FALSE"
-    if isinstance(x, (int, float)):
-        return repr(x)
-    if isinstance(x, list):
-        return "[" + ", ".join(map(literal, x)) + "]"
-    text = str(x)
-    parts, plain = [], ""
-    for c in text:
-        if ord(c) < 32:
-            parts += [f"'{plain}'", f"chr({ord(c)})"]
-            plain = ""
-        else:
-            plain += c.replace("'", "''")
-    parts.append(f"'{plain}'")
-    return parts[0] if len(parts) == 1 else "(" + " || ".join(parts) + ")"
-
-
-def values(columns: str, rows: list[tuple]) -> str:
-    """Rows as a DuckDB relation; columns are Spark DDL."""
-    types = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "array<string>": "VARCHAR[]", "array<long>": "BIGINT[]", "boolean": "BOOLEAN"}
-    names = [c.strip().split(" ", 1) for c in columns.split(",")]
-    body = " UNION ALL ".join("SELECT " + ", ".join(f"CAST({literal(x)} AS {types[t]}) AS {n}" for x, (n, t) in zip(row, names)) for row in rows)
-    return f"({body})"

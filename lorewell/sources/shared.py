@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +20,38 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables of one call; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session still runs."""
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has already ended
+        pass
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def signature(df: DataFrame) -> str:
+    """A name for the files that a table is read from as they are now: their paths, sizes and times."""
+    spark = df.sparkSession
+    told = hashlib.sha256()
+    for file in sorted(df.inputFiles()):
+        target = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target)
+        told.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return told.hexdigest()[:32]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() to the shared folder."""
     spark = df.sparkSession

@@ -1,21 +1,18 @@
-"""Queries over inline rows: formats, links, citations, errors, normalising; and over the corpus where it has the case."""
+"""Text, rule and citation functions on written rows: each with the results that are expected of it."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorewell.functions import citation, rules, text
 from lorewell.functions.expansion import parse_expansion
-from lorewell.functions.html import html_text
-from lorewell.plans.registry import query
-from lorewell.sources.relations import values
+from lorewell.operators import chunking
 
+CASES = {}
 
-def inline(name, columns, rows, out, results, build):
-    """A query whose inputs are inline rows and whose expected results are written out."""
 
-    @query(name, f"SELECT * FROM {values(out, results)}")
-    def run(t):
-        return build(t.spark.createDataFrame(rows, columns))
+def inline(name, columns, rows, out, results, build):
+    CASES[name] = (columns, rows, out, results, build)
 
 
 c = F.col
@@ -175,18 +172,6 @@ inline(
 )
 
 
-_HTML = r"""SELECT page_id, coalesce(list_aggregate(list_filter(list_transform(string_split(body, chr(2)), lambda line: list_aggregate(list_filter(list_transform(string_split(line, chr(1)),
- lambda node: trim(regexp_replace(replace(replace(replace(replace(replace(node, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), chr(9) || chr(10) || chr(13) || ' ')),
- lambda x: x <> ''), 'string_agg', ' ')), lambda x: x <> ''), 'string_agg', chr(10)), '') AS text FROM
- (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)[ >].*?</(script|style|noscript)>', chr(1), 'g'), '(?s)<!--.*?-->', chr(1), 'g'),
- '(?i)<(br|p|div|li|tr|h[1-6]|section|article)(\s[^>]*)?/?>', chr(2), 'g'), '(?s)<[a-zA-Z/!][^>]*>', chr(1), 'g') AS body FROM pages)"""
-
-
-@query("html_extract", _HTML)
-def html_extract(t):
-    return t("pages").select("page_id", html_text(c("html")).alias("text"))
-
-
 def _limits(d):
     names = rules.LIMITS
     return d.select("id", rules.limit_update_reason(c("code"), {n: c(n) for n in names}, 50).alias("reason"), rules.vote(c("v")).alias("vote"), rules.score(c("max_turns")).alias("score"))
@@ -210,3 +195,32 @@ inline(
     [(1, "q", False, '{"query": " q "}'), (2, "", True, '{"data": {"sheets": []}}'), (3, "", True, '{"type": "JSONv0"}'), (4, "", False, "junk"), (5, "", False, "none")],
     lambda d: d.select("id", rules.tool_query(c("raw")).alias("query"), rules.looks_like_table(c("raw")).alias("is_table"), rules.first_non_empty(c("raw"), F.lit("none")).alias("first")),
 )
+
+COLUMNS = "id long, format string, text string"
+TEXTS = [
+    (1, "markdown", "intro\n# One\nbody one\n## Two\n\n### Three\nbody three"), (2, "markdown", "# Only\nbody"), (3, "markdown", "plain text"), (4, "markdown", "##\nbare\n# X\ny"),
+    (5, "pdf", "lost\n## 第 1 页\nfirst\n## 第 2 页\n\n## 第 3 页\nthird"), (6, "pdf", "no marker"), (7, "xlsx", "## 工作表: A\na\tb\n## 工作表: B b \nc"), (8, "", "## 第 7 页\nx"), (9, "", "# H\na\n# I\nb"),
+    (10, "html", ""), (11, "text", "a\n# T\r\nb\n# U\nc"),
+]
+#: The sections, written out: text splitting by hand is the check of the expression.
+_SPLIT = [
+    (1, 0, "", 0, "intro"), (1, 1, "One", 0, "One\n\nbody one"), (1, 2, "Two", 0, "Two"), (1, 3, "Three", 0, "Three\n\nbody three"), (2, 0, "", 0, "# Only\nbody"), (3, 0, "", 0, "plain text"),
+    (4, 0, "bare", 0, "bare"), (4, 1, "X", 0, "X\n\ny"), (5, 0, "第 1 页", 1, "first"), (5, 1, "第 3 页", 3, "third"), (6, 0, "", 0, "no marker"), (7, 0, "工作表: A", 0, "a\tb"), (7, 1, "工作表: B b", 0, "c"),
+    (8, 0, "第 7 页", 7, "x"), (9, 0, "H", 0, "H\n\na"), (9, 1, "I", 0, "I\n\nb"), (11, 0, "", 0, "a"), (11, 1, "T", 0, "T\n\nb"), (11, 2, "U", 0, "U\n\nc"),
+]
+
+
+def _sections(d):
+    return d.select("id", F.posexplode(chunking.split_structure(F.col("text"), F.col("format"))).alias("n", "s")).select("id", F.col("n").cast("bigint").alias("n"), "s.section", "s.page", "s.content")
+
+
+for _name, _keep in (("split_headings", (1, 2, 3, 4, 11)), ("split_pages", (5, 6)), ("split_sheets", (7,)), ("split_route", tuple(range(1, 12)))):
+    inline(_name, COLUMNS, [r for r in TEXTS if r[0] in _keep], "id long, n long, section string, page long, content string", [r for r in _SPLIT if r[0] in _keep], _sections)
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_case(spark, name):
+    columns, rows, out, results, build = CASES[name]
+    names = [x.split()[0] for x in out.split(", ")]
+    got = sorted((tuple(r[c] for c in names) for r in build(spark.createDataFrame(rows, columns)).collect()), key=str)
+    assert got == sorted(map(tuple, results), key=str)
