@@ -5,7 +5,7 @@ and pairs with one word between. Training passes over a bounded sample of the
 labelled rows (`max_train_docs`, the rows with the smallest hash of their id) with a
 learning rate for each coordinate and L1, which leaves few weights. The rows are
 written once with all their features; an epoch is one task that streams them in one
-order and holds the sums alone, which go from epoch to epoch. The weights are the
+order and holds the sums alone, which the next one reads first. The weights are the
 only thing sent to the workers: at most 2**bits of them. Scoring is one pass over
 the documents without any shuffle. Ids may be of any type.
 
@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,30 +113,36 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
     # an id that repeats is learnt from once, so that rows are bounded as ids are
     encoded = rows.mapInArrow(encode, "key string, label int, features binary").groupBy("key", "label").agg(F.min("features").alias("features"))
-    stored = common.write_shared(encoded)
-    ordered = stored.coalesce(1).sortWithinPartitions(F.xxhash64("key"), "key", "label").select("label", "features")
-    state, spark = None, documents.sparkSession
-    for _ in range(p.epochs):  # each passes over the rows in one order; a task holds the sums and a batch
-        spread = spark.sparkContext.broadcast(state)
-
-        def learn(batches: Iterator[pa.RecordBatch], spread: Broadcast = spread) -> Iterator[pa.RecordBatch]:
-            model, seen = Ftrl(p, spread.value), 0
+    stored = common.write_shared(encoded).select(F.lit(1).alias("kind"), F.xxhash64("key").alias("order"), "key", "label", "features")
+    state: DataFrame | None = None
+    for epoch in range(1, p.epochs + 1):  # each is one task that streams the rows in one order, behind the sums of the epoch before
+
+        def learn(batches: Iterator[pa.RecordBatch], last: bool = epoch == p.epochs) -> Iterator[pa.RecordBatch]:
+            model, seen = Ftrl(p), 0
             for b in batches:
-                for label, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                    model.learn(label, np.frombuffer(blob.as_buffer(), np.int32))
-                    seen += 1
+                for kind, label, blob in zip(*(b.column(c).to_pylist() for c in range(3))):
+                    if kind == 0:
+                        model = Ftrl(p, blob)
+                    else:
+                        model.learn(label, np.frombuffer(blob, np.int32))
+                        seen += 1
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([model.state()], pa.binary())], ["state"])
-
-        got = ordered.mapInArrow(learn, "state binary").collect()  # one row of 16 * 2**bits bytes
-        if not got:
-            return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), -40.0, p.bits)
-        state = bytes(got[0].state)
-        spread.unpersist()
-    model = Ftrl(p, state)
-    weight = model.weights()
-    kept = np.flatnonzero(weight)
-    return ToxicityModel(kept.astype(np.int32), weight[kept].astype(np.float32), model.intercept(), p.bits)
+                weight = model.weights() if last else np.zeros(0)
+                kept = np.flatnonzero(weight)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None if last else model.state()], pa.binary()), pa.array([kept.astype(np.int32).tobytes()], pa.binary()), pa.array([weight[kept].astype(np.float32).tobytes()], pa.binary()), pa.array([model.intercept()])],
+                    ["features", "idx", "w", "b"],
+                )
+
+        rows = stored if state is None else stored.unionByName(state)
+        ordered = rows.coalesce(1).sortWithinPartitions("kind", "order", "key", "label").select("kind", "label", "features")
+        told = ordered.mapInArrow(learn, "features binary, idx binary, w binary, b double")
+        if epoch < p.epochs:
+            state = common.write_shared(told.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("order"), F.lit("").alias("key"), F.lit(0).alias("label"), "features"))
+    got = told.select("idx", "w", "b").collect()  # one row of at most 8 * 2**bits bytes
+    if not got:
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), -40.0, p.bits)
+    return ToxicityModel(np.frombuffer(got[0].idx, np.int32), np.frombuffer(got[0].w, np.float32), got[0].b, p.bits)
 
 
 def score(documents: DataFrame, model: ToxicityModel, columns: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
