@@ -116,9 +116,8 @@ _SCORES = "SELECT item_id AS case_id, coalesce(bool_or(ok), FALSE) AS hit, coale
 
 
 def case_scores(t):
-    top = ranked(t, 5)
-    ranked = top.join(corpus(t), "doc_id").select(F.col("query_id").alias("case_id"), "rank", "content")
-    return quality.case_scores(ranked, t("benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("criterion")))
+    top = ranked(t, 5).join(corpus(t), "doc_id").select(F.col("query_id").alias("case_id"), "rank", "content")
+    return quality.case_scores(top, t("benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("criterion")))
 
 
 @query("golden_case_scores", "WITH " + _BM25.replace("@K", "5") + ", " + _CASES + " " + _SCORES)

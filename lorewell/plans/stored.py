@@ -14,6 +14,7 @@ from lorewell.plans.registry import query
 from lorewell.sources.buckets import BucketTable
 from lorewell.sources.relations import with_inputs as q
 from lorewell.sources.shared import scratch
+from lorewell.sources.sinks import ChunkStore
 
 _WALK = """, w AS (SELECT d.id, d.parent_id, d.id AS root, [struct_pack(s := d.sort_order, i := d.id)] AS path FROM directories d WHERE NOT EXISTS (SELECT 1 FROM directories p WHERE p.id = d.parent_id)
   UNION ALL SELECT d.id, d.parent_id, w.root, list_append(w.path, struct_pack(s := d.sort_order, i := d.id)) FROM directories d JOIN w ON d.parent_id = w.id),
@@ -125,9 +126,13 @@ def cascade_buckets(t):
     return stored.read(t.spark).select("id")
 
 
-@query("tenant_documents_pruned", q("SELECT id, tenant_id FROM kb_documents WHERE tenant_id = 2", "kb_documents"))
-def tenant_documents_pruned(t):
-    """The documents of a tenant from a table in partitions by tenant; files of other tenants are not listed for the scan."""
-    path = scratch(t.spark, "tenants")
-    t("kb_documents").select("id", "tenant_id").repartitionByRange("tenant_id", F.xxhash64("id")).write.partitionBy("tenant_id").parquet(path)
-    return t.spark.read.parquet(path).where("tenant_id = 2").select("id", F.col("tenant_id").cast("bigint").alias("tenant_id"))
+@query("scoped_chunks", q("SELECT d.id AS doc_id, d.tenant_id, d.knowledge_base_id AS kb_id, md5(d.content) AS digest, CAST(e.label AS INT) AS label FROM kb_documents d JOIN knowledge_bases k ON k.id = d.knowledge_base_id AND k.tenant_id = d.tenant_id LEFT JOIN embeddings e ON e.vec_id = d.id - 1 WHERE k.name LIKE '%_1%'", "kb_documents", "knowledge_bases"))
+def scoped_chunks(t):
+    """The chunks, with what their vectors carry, of the bases whose name a scope asks for: partitions of others are not read."""
+    path = scratch(t.spark, "chunks")
+    vectors = t("embeddings").select((F.col("vec_id") + 1).alias("id"), "embedding", F.col("label").cast("int").alias("label"))
+    chunks = t("kb_documents").join(vectors, "id", "left").select("tenant_id", F.col("knowledge_base_id").alias("kb_id"), F.col("id").alias("doc_id"), "content", "embedding", "label")
+    store = ChunkStore(path, 4)
+    store.replace(chunks)
+    scope = t("knowledge_bases").where("name LIKE '%_1%'").select("tenant_id", F.col("id").alias("kb_id"))
+    return store.scoped(scope).select("doc_id", F.col("tenant_id").cast("bigint").alias("tenant_id"), F.col("kb_id").cast("bigint").alias("kb_id"), F.md5("content").alias("digest"), "label")

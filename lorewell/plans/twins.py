@@ -13,10 +13,10 @@ c = F.col
 _RAW = "CASE chunk_index % 4 WHEN 0 THEN concat(' 00', doc_id, ' ') WHEN 1 THEN concat('x', doc_id) WHEN 2 THEN doc_id ELSE '0' END"
 
 
-@query("ids_of_questions", q("SELECT user_message_id, coalesce(string_agg(doc_id, ',' ORDER BY place), '') AS ids FROM (SELECT user_message_id, CASE WHEN chunk_index % 2 = 0 THEN doc_id END AS doc_id, min(rank) AS place FROM retrieval_hits GROUP BY 1, 2) GROUP BY 1", "retrieval_hits"))
+@query("ids_of_questions", q("SELECT user_message_id, coalesce(string_agg(doc_id, ',' ORDER BY place, doc_id), '') AS ids FROM (SELECT user_message_id, CASE WHEN chunk_index % 2 = 0 THEN doc_id END AS doc_id, min(rank) AS place FROM retrieval_hits GROUP BY 1, 2) GROUP BY 1", "retrieval_hits"))
 def ids_of_questions(t):
     """The valid document ids that each question's hits name, each once, in order of rank."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.expr(_RAW).alias("raw")))), lambda x: x["raw"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.expr(_RAW).alias("raw")))), lambda x: x["raw"])
     return t("retrieval_hits").groupBy("user_message_id").agg(F.array_join(text.canonical_ids(listed, 50), ",").alias("ids"))
 
 
@@ -51,7 +51,7 @@ def merged_rounds(t):
     return merged.select("answer_id", "number", "chunk_id", c("round").cast("int").alias("round"), c("rank").cast("int").alias("rank"))
 
 
-@query("prompt_contexts", q("SELECT user_message_id AS answer_id, string_agg(concat('[', rank, '] T', doc_id, CASE WHEN chunk_index > 0 THEN concat(' p.', chunk_index) ELSE '' END, CASE WHEN chunk_index % 2 = 0 THEN ' S' ELSE '' END, chr(10), 'body ', doc_id), chr(10) || chr(10) ORDER BY rank) AS context FROM retrieval_hits GROUP BY 1", "retrieval_hits"))
+@query("prompt_contexts", q("SELECT answer_id, string_agg(block, chr(10) || chr(10) ORDER BY rank, block) AS context FROM (SELECT user_message_id AS answer_id, rank, concat('[', rank, '] T', doc_id, CASE WHEN chunk_index > 0 THEN concat(' p.', chunk_index) ELSE '' END, CASE WHEN chunk_index % 2 = 0 THEN ' S' ELSE '' END, chr(10), 'body ', doc_id) AS block FROM retrieval_hits) GROUP BY 1", "retrieval_hits"))
 def prompt_contexts(t):
     """The numbered sources of each question, with page and section, as one text for the model."""
     chunks = t("retrieval_hits").select(c("user_message_id").alias("answer_id"), c("rank").alias("n"), F.concat(F.lit("T"), "doc_id").alias("title"), c("chunk_index").alias("page"), F.when(c("chunk_index") % 2 == 0, "S").otherwise("").alias("section"), F.concat(F.lit("body "), "doc_id").alias("content"))
