@@ -113,7 +113,8 @@ def fit(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
     # an id that repeats is learnt from once, so that rows are bounded as ids are
     encoded = rows.mapInArrow(encode, "key string, label int, features binary").groupBy("key", "label").agg(F.min("features").alias("features"))
-    stored = common.write_shared(encoded).select(F.lit(1).alias("kind"), F.xxhash64("key").alias("order"), "key", "label", "features")
+    # as many rows as the bound allows fit two files
+    stored = common.write_shared(encoded.coalesce(2)).select(F.lit(1).alias("kind"), F.xxhash64("key").alias("order"), "key", "label", "features")
     state: DataFrame | None = None
     for epoch in range(1, p.epochs + 1):  # each is one task that streams the rows in one order, behind the sums of the epoch before
 
