@@ -128,6 +128,21 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def base_access(bases: DataFrame, tenant: int, user: int) -> DataFrame:
+    """(id, can_read, can_write) of knowledge bases (id, tenant_id, user_id): one's tenant reads, the owner writes."""
+    mine = F.col("tenant_id") == tenant
+    return bases.select("id", mine.alias("can_read"), (mine & (F.col("user_id") == user)).alias("can_write"))
+
+
+def directory_access(directories: DataFrame, bases: DataFrame, tenant: int, user: int) -> DataFrame:
+    """(id, can_read, can_write) of directories (id, tenant_id, knowledge_base_id): as their base lets its owner write; one of tenant 0 is read as its base is."""
+    of_base = base_access(bases, tenant, user).select(F.col("id").alias("knowledge_base_id"), F.col("can_read").alias("_read"), F.col("can_write").alias("_write"))
+    rows = directories.join(of_base, "knowledge_base_id", "left")
+    none = F.lit(False)
+    read = (F.col("tenant_id") == tenant) | ((F.col("tenant_id") == 0) & F.coalesce("_read", none))
+    return rows.select("id", read.alias("can_read"), (read & F.coalesce("_write", none)).alias("can_write"))
+
+
 def build_history(builds: DataFrame, limit: int = 0) -> DataFrame:
     """Each document's newest builds first; a limit of 0 or less, or above 200, means 100."""
     order = Window.partitionBy("document_id").orderBy(F.desc("triggered_at"), F.desc("id"))

@@ -71,7 +71,8 @@ def split_structure(text: Column, fmt: Column) -> Column:
         F.when(f.isin("pdf", "pptx"), by_pages(body)).when(f == "xlsx", by_sheets(body)).when(f.isin("markdown", "html", "docx", "text"), by_headings(body))
         .otherwise(first(by_pages(body), by_sheets(body), by_headings(body)))
     )
-    return F.when(body == "", none).otherwise(let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole)))
+    # every mark of structure has a #: most texts need no pattern
+    return F.when(body == "", none).when(~F.contains(body, F.lit("#")), whole).otherwise(let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole)))
 
 
 def pieces(body: Column, size: int = 800, overlap: int = 100) -> Column:

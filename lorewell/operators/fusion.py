@@ -25,3 +25,15 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int = 60, top: int | None = N
     alone = dense.join(sparse.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "doc_id", "score", "rank")
     out = fused.join(alone.select("query_id").distinct(), "query_id", "left_anti").unionByName(alone)
     return out if top is None or top <= 0 else out.where(F.col("rank") <= top)
+
+
+def documents(fused: DataFrame, lists: list[DataFrame]) -> DataFrame:
+    """The fused rows with content and the other columns of the lists (query_id, doc_id, content, ...).
+
+    They are those of the first list that has content for the document, or of the first that has it at all.
+    """
+    others = [c for c in lists[0].columns if c not in ("query_id", "doc_id", "rank", "score")]
+    rows = reduce(DataFrame.unionByName, [x.select("query_id", "doc_id", *others, F.lit(k).alias("_list")) for k, x in enumerate(lists)])
+    place = F.struct(F.coalesce(F.col("content") == "", F.lit(True)), "_list")
+    best = rows.groupBy("query_id", "doc_id").agg(F.min_by(F.struct(*others), place).alias("_d"))
+    return fused.join(best, ["query_id", "doc_id"], "left").select(*fused.columns, "_d.*")

@@ -145,10 +145,12 @@ def kbs_by_user(t):
     return t("knowledge_bases").where("tenant_id = 2").select("id", "name").orderBy(F.desc("id"))
 
 
-@query("docs_with_username", q("SELECT d.id, coalesce(u.username, '') AS username FROM kb_documents d LEFT JOIN users u ON u.id = d.id * 7 % 2000 + 1", "kb_documents", "users"))
+@query("docs_with_username", q("SELECT d.id, coalesce(u.username, '') AS username FROM kb_documents d LEFT JOIN users u ON u.id = d.id * 7 % (SELECT count(*) FROM users) + 1", "kb_documents", "users"))
 def docs_with_username(t):
+    """Owners are dealt out over all users."""
     users = t("users").select(F.col("id").alias("user_id"), "username")
-    return t("kb_documents").withColumn("user_id", F.col("id") * 7 % 2000 + 1).join(users, "user_id", "left").select("id", F.coalesce("username", F.lit("")).alias("username"))
+    many = F.broadcast(users.agg(F.count("*").alias("many")))  # one row
+    return t("kb_documents").crossJoin(many).withColumn("user_id", F.col("id") * 7 % F.col("many") + 1).join(users, "user_id", "left").select("id", F.coalesce("username", F.lit("")).alias("username"))
 
 
 @query("attach_sources", q("SELECT h.doc_id, h.chunk_index, coalesce(nullif(CASE WHEN h.chunk_index % 2 = 0 THEN 'given' ELSE '' END, ''), d.source, '') AS source FROM (SELECT DISTINCT doc_id, chunk_index FROM retrieval_hits) h LEFT JOIN kb_documents d ON CAST(d.id AS VARCHAR) = h.doc_id", "retrieval_hits", "kb_documents"))
@@ -185,9 +187,11 @@ def feedback_eligibility(t):
     return t("messages").select("id", reason.alias("reason"))
 
 
-@query("label_eligibility", q("SELECT m.id, d.id AS doc, CASE WHEN m.tenant_id <> 2 THEN 'forbidden' WHEN m.role <> 'user' THEN 'not a question' WHEN d.tenant_id <> 2 THEN 'no access' WHEN d.knowledge_base_id <> 7 THEN 'other knowledge base' ELSE 'ok' END AS reason FROM messages m JOIN kb_documents d ON d.id = m.id % 500 + 1", "messages", "kb_documents"))
+@query("label_eligibility", q("SELECT m.id, d.id AS doc, CASE WHEN m.tenant_id <> 2 THEN 'forbidden' WHEN m.role <> 'user' THEN 'not a question' WHEN d.tenant_id <> 2 THEN 'no access' WHEN d.knowledge_base_id <> 7 THEN 'other knowledge base' ELSE 'ok' END AS reason FROM messages m JOIN kb_documents d ON d.id = m.id % (SELECT count(*) FROM kb_documents) + 1", "messages", "kb_documents"))
 def label_eligibility(t):
-    m = t("messages").select(F.col("id"), F.col("tenant_id").alias("mt"), "role", (F.col("id") % 500 + 1).alias("doc"))
+    """Questions are asked of all documents in turn."""
+    many = F.broadcast(t("kb_documents").agg(F.count("*").alias("many")))  # one row
+    m = t("messages").crossJoin(many).select(F.col("id"), F.col("tenant_id").alias("mt"), "role", (F.col("id") % F.col("many") + 1).alias("doc"))
     d = t("kb_documents").select(F.col("id").alias("doc"), F.col("tenant_id").alias("dt"), "knowledge_base_id")
     reason = F.when(F.col("mt") != 2, "forbidden").when(F.col("role") != "user", "not a question").when(F.col("dt") != 2, "no access").when(F.col("knowledge_base_id") != 7, "other knowledge base").otherwise("ok")
     return m.join(d, "doc").select("id", "doc", reason.alias("reason"))

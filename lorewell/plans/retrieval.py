@@ -56,6 +56,13 @@ def tokenize_corpus(t):
     return terms.select("doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.size(F.array_distinct("terms")).cast("bigint").alias("n_distinct"))
 
 
+@query("tokenize_han_corpus", f"SELECT doc_id, md5(array_to_string(list_concat(['股票账户', '股票', '票账', '账户'], {_TOK.format(c='text')}, ['人', '开户', '开户']), '|')) AS digest FROM documents")
+def tokenize_han_corpus(t):
+    """Each text between runs of Han characters: a run is a token, and so is each pair of neighbours in it."""
+    terms = tokenize(F.concat(F.lit("股票账户 "), "text", F.lit(" 人 开户")))
+    return t("documents").select("doc_id", F.md5(F.array_join(terms, "|")).alias("digest"))
+
+
 @query("bm25_postings", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(c='text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def bm25_postings(t):
     return lexical.postings(corpus(t)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

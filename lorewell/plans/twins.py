@@ -1,10 +1,11 @@
 """Queries: request, answer and import rules over whole tables; their written cases are in the tests."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lorewell.functions import text
 from lorewell.functions.expansion import parse_expansion
-from lorewell.operators import catalog, imports, retrieval
+from lorewell.operators import catalog, fusion, imports, retrieval
 from lorewell.plans.corpus import trimmed
 from lorewell.plans.registry import query
 from lorewell.sources.relations import with_inputs as q
@@ -104,3 +105,28 @@ def aligned_imports(t):
     n = F.lit(3)
     titles, sources = text.aligned(F.array(F.concat(F.lit(" "), "source")), n), text.aligned(F.array("lang"), n, True)
     return t("documents").select("doc_id", F.posexplode(F.arrays_zip(titles.alias("title"), sources.alias("origin"))).alias("i", "x")).select("doc_id", c("i").cast("bigint").alias("i"), "x.title", "x.origin")
+
+
+_OWNED = "SELECT id, tenant_id, id % 3 AS user_id FROM knowledge_bases"
+
+
+@query("acl_bases", q(f"SELECT id, tenant_id = 2 AS can_read, tenant_id = 2 AND user_id = 1 AS can_write FROM ({_OWNED})", "knowledge_bases"))
+def acl_bases(t):
+    return catalog.base_access(t("knowledge_bases").select("id", "tenant_id", (c("id") % 3).alias("user_id")), 2, 1)
+
+
+@query("acl_directories", q(f", d AS (SELECT id, CASE WHEN id % 4 = 0 THEN 0 ELSE id % 5 + 1 END AS tenant_id, id % 30 + 1 AS kb FROM directories), k AS ({_OWNED}) SELECT d.id, d.tenant_id = 2 OR (d.tenant_id = 0 AND coalesce(k.tenant_id, 0) = 2) AS can_read, (d.tenant_id = 2 OR (d.tenant_id = 0 AND coalesce(k.tenant_id, 0) = 2)) AND coalesce(k.tenant_id = 2 AND k.user_id = 1, FALSE) AS can_write FROM d LEFT JOIN k ON k.id = d.kb", "directories", "knowledge_bases"))
+def acl_directories(t):
+    """Directories of all tenants; those of tenant 0 are read through their base, and some have none."""
+    rows = t("directories").select("id", F.when(c("id") % 4 == 0, 0).otherwise(c("id") % 5 + 1).alias("tenant_id"), (c("id") % 30 + 1).alias("knowledge_base_id"))
+    return catalog.directory_access(rows, t("knowledge_bases").select("id", "tenant_id", (c("id") % 3).alias("user_id")), 2, 1)
+
+
+@query("fused_documents", "WITH a AS (SELECT doc_id % 50 AS query_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS content, 'a' AS source, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id % 50 AS query_id, doc_id, lang AS content, 'b' AS source, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id DESC) AS rank FROM documents), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM a UNION ALL SELECT query_id, doc_id, rank FROM b) GROUP BY 1, 2) SELECT f.query_id, f.doc_id, f.score, CASE WHEN coalesce(a.content, '') <> '' THEN a.content ELSE b.content END AS content, CASE WHEN coalesce(a.content, '') <> '' THEN 'a' ELSE 'b' END AS source FROM f JOIN b ON b.doc_id = f.doc_id LEFT JOIN a ON a.doc_id = f.doc_id")
+def fused_documents(t):
+    """Two lists of each question fused; content and source are those of the first list that has content."""
+    docs = t("documents").select((c("doc_id") % 50).alias("query_id"), "doc_id", "lang")
+    by = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("rank")
+    a = docs.where("doc_id % 2 = 0").select("query_id", "doc_id", F.when(c("doc_id") % 3 == 0, "").otherwise(c("lang")).alias("content"), F.lit("a").alias("source"), by("doc_id"))
+    b = docs.select("query_id", "doc_id", c("lang").alias("content"), F.lit("b").alias("source"), by(F.desc("doc_id")))
+    return fusion.documents(fusion.rrf([a, b]).drop("rank"), [a, b])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.operators import lexical
+from lorewell.operators import postings
 from lorewell.sources.shared import exists, held, marks, release, remove
 
 
@@ -65,9 +65,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     by_kb.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").parquet(path)
 
 
-def write_postings(chunks: DataFrame, path: str) -> None:
-    """The lexical index of chunks (doc_id, content), sorted by term in files so that term filters skip row groups."""
-    lexical.postings(chunks).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+def write_postings(chunks: DataFrame, path: str) -> postings.Postings:
+    """The stored lexical index of chunks (doc_id, content), which `postings.search` reads."""
+    return postings.build(chunks, path)
 
 
 def without_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:

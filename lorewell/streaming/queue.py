@@ -11,13 +11,12 @@ it had written, so readers of the tables see each action and each outcome once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lorewell.streaming.jobs import step
+from lorewell.streaming.jobs import step, work  # noqa: F401  the worker is the same
 
 #: The session needs this before the first stateful stream starts.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -114,13 +113,6 @@ def session_lists(messages: DataFrame, keep: int = 20, ttl_minutes: int = 60) ->
     return messages.groupBy("session_id").transformWithState(Sessions(keep, ttl_minutes), "session_id string, turns int, last string", "Update", "ProcessingTime")
 
 
-def _written(rows: DataFrame, path: str) -> bool:
-    """Whether the folder of a batch is there and whole."""
-    spark = rows.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def deliver(acts: DataFrame, path: str, dead: str, checkpoint: str, **trigger: object) -> StreamingQuery:
     """Writes actions to the table `path`, and those that are dead letters, with their errors, to the table `dead`; both by batch."""
 
@@ -131,19 +123,3 @@ def deliver(acts: DataFrame, path: str, dead: str, checkpoint: str, **trigger: o
         stored.where("action = 'dead'").write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     return acts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
-
-
-def work(acts: DataFrame, handle: Callable[[DataFrame], DataFrame], outcomes: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """A worker: each batch's documents to start go to `handle`, whose rows (doc_id, seq, kind, error) are the batch's outcomes.
-
-    A batch whose outcomes are whole is not handled again after a restart; one that
-    was cut off is handled again and replaces what it left.
-    """
-
-    def batch(rows: DataFrame, number: int) -> None:
-        folder = f"{outcomes}/batch={number}"
-        if not _written(rows, folder):
-            started = rows.where("action = 'start'").groupBy("doc_id").agg(F.max("attempt").alias("attempt"))
-            handle(started).write.mode("overwrite").parquet(folder)
-
-    return acts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.functions.html import extract as html
-from lorewell.operators import models
+from lorewell.operators import models, postings
 from lorewell.sources import extract, notes, pages, parameters, sinks
 
 
@@ -126,8 +126,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_chunks(rows, f"{tmp_path}/c")
     sinks.write_chunks(rows.where("kb_id = 2").withColumn("content", F.lit("new")), f"{tmp_path}/c")
     assert {(r.kb_id, r.content) for r in spark.read.parquet(f"{tmp_path}/c").collect()} == {(1, "a b"), (2, "new")}
-    sinks.write_postings(rows, f"{tmp_path}/p")
-    assert spark.read.parquet(f"{tmp_path}/p").where("term = 'b'").count() == 2
+    asked = spark.createDataFrame([(1, "b")], "query_id long, query string")
+    assert {r.doc_id for r in postings.search(sinks.write_postings(rows, f"{tmp_path}/p"), asked, 5).collect()} == {1, 2}
     assert [r.doc_id for r in sinks.without_documents(rows, spark.createDataFrame([(1,)], "doc_id long")).collect()] == [2]
     sinks.write_report(rows.groupBy().count(), f"{tmp_path}/r")
     assert spark.read.json(f"{tmp_path}/r").first()["count"] == 2
