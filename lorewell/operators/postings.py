@@ -31,6 +31,8 @@ from lorewell.functions.text import tokenize
 from lorewell.operators.lexical import body
 from lorewell.sources.shared import held, marks, release
 
+#: Goes up when what is stored changes its form.
+LAYOUT = 1
 #: Scores are rounded to six places; bounds leave that much room.
 ROOM = 2e-6
 

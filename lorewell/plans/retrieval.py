@@ -36,7 +36,7 @@ def corpus(t):
 def index_of(t):
     """The stored postings of the corpus as its files are now: built by the first search, read by the others."""
     chunks = corpus(t)
-    path = f"{shared_dir(t.spark)}/postings-{signature(chunks)}"
+    path = f"{shared_dir(t.spark)}/postings-{postings.LAYOUT}-{signature(chunks)}"
     return postings.load(t.spark, path) if exists(t.spark, f"{path}/learnt/_SUCCESS") else postings.build(chunks, path)
 
 
