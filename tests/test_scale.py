@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import tokenize
-from lorewell.operators import lexical, scoring
+from lorewell.operators import lexical, postings, scoring
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,20 @@ def test_scan_is_the_search_by_shuffle(spark, talk, monkeypatch, pairs, rows):
     near = found()
     monkeypatch.setattr(lexical, "MAX_TERM_BYTES", -1)
     assert len(near) == 24 and found() == near
+
+
+def test_stored_search_sends_on_the_best_only(spark, talk, tmp_path, monkeypatch):
+    index = postings.build(talk, str(tmp_path), postings.PostingsParams(block_docs=64))
+    sent, plain = [], postings._scored
+
+    def spied(blocks, buckets, terms):
+        out = plain(blocks, buckets, terms)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(postings, "_scored", spied)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in df.collect())
+    assert rows(postings.search(index, asked_of(spark), 3)) == rows(lexical.search(talk, asked_of(spark), 3))
+    assert sum(sent) < 6 * 3000 / 2  # every document has a word of every question
+    monkeypatch.setattr(scoring, "MAX_TERM_BYTES", -1)
+    assert rows(postings.search(index, asked_of(spark), 3)) == rows(lexical.search(talk, asked_of(spark), 3))
