@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lorewell.sources.shared import held
+
 
 def rrf(lists: list[DataFrame], k: int = 60, top: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) from lists (query_id, doc_id, rank); ties by best rank, then id."""
@@ -21,6 +23,7 @@ def rrf(lists: list[DataFrame], k: int = 60, top: int | None = None) -> DataFram
 
 def hybrid(dense: DataFrame, sparse: DataFrame, k: int = 60, top: int | None = None) -> DataFrame:
     """Fused lists; a question without any sparse result keeps its dense list and scores as they are."""
+    dense, sparse = held(dense), held(sparse)  # each is read more than once, and has a few rows for each question
     fused = rrf([dense, sparse], k)
     alone = dense.join(sparse.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "doc_id", "score", "rank")
     out = fused.join(alone.select("query_id").distinct(), "query_id", "left_anti").unionByName(alone)
