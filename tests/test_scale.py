@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.functions.text import tokenize
-from lorewell.operators import lexical, postings, scoring
+from lorewell.operators import fusion, lexical, postings, retrieval, scoring
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,23 @@ def test_stored_search_sends_on_the_best_only(spark, talk, tmp_path, monkeypatch
     assert sum(sent) < 6 * 3000 / 2  # every document has a word of every question
     monkeypatch.setattr(scoring, "MAX_TERM_BYTES", -1)
     assert rows(postings.search(index, asked_of(spark), 3)) == rows(lexical.search(talk, asked_of(spark), 3))
+
+
+def test_results_go_to_the_texts(spark, talk):
+    found = spark.createDataFrame([(1, 5, 1), (1, 9, 2)], "query_id long, doc_id long, rank long")
+    plan = retrieval.with_texts(found, talk)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(doc_id" not in plan
+    assert {(r["rank"], r.doc_id) for r in retrieval.with_texts(found, talk).collect()} == {(1, 5), (2, 9)}
+
+
+def test_each_list_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    ranks = lambda n: spark.range(n).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.lit(0.5).alias("score"), (F.col("id") + 1).alias("rank"))
+    dense, sparse = (ranks(n).mapInArrow(seen, "query_id long, doc_id long, score double, rank long") for n in (20, 30))
+    assert fusion.hybrid(dense, sparse, 60, 5).count() == 5 and made.value == 50
