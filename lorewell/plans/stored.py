@@ -32,7 +32,8 @@ def directory_labels(t):
 @query("directory_reading_order", q(_WALK + "SELECT o.id, d.name, CAST(len(path) - 1 AS BIGINT) AS depth, o.pre AS place FROM o JOIN directories d USING (id) ORDER BY root, pre", "directories"))
 def directory_reading_order(t):
     """The tree as it is shown: each directory after its parent, siblings by their order."""
-    found = tree.labels(t("directories")).join(t("directories").select("id", "name"), "id")
+    # as many names as directories: not to be broadcast by an estimate
+    found = tree.labels(t("directories")).join(t("directories").select("id", "name").hint("merge"), "id")
     return found.orderBy("root", "pre").select("id", "name", "depth", F.col("pre").alias("place"))
 
 
@@ -44,7 +45,7 @@ def filter_by_tree_range(t):
     """Documents below a directory by a range of the number that they are stored with; no join answers it."""
     found = tree.labels(t("directories"))
     path = scratch(t.spark, "labelled")
-    own = found.select(F.col("id").alias("directory_id"), "root", "pre")
+    own = found.select(F.col("id").alias("directory_id"), "root", "pre").hint("merge")  # not to be broadcast by an estimate
     t("kb_documents").select("id", "directory_id").join(own, "directory_id").repartitionByRange("root", "pre").sortWithinPartitions("root", "pre").write.parquet(path)
     at = found.where("id = 3").first()
     stored = t.spark.read.parquet(path)

@@ -75,3 +75,19 @@ def test_a_range_reaches_the_scan(spark, tmp_path):
     assert "ThanOrEqual(pre" in plan.split("PushedFilters")[1] and "Join" not in plan
     wanted = {r.id for r in catalog.descendants(found.select("id", "parent_id"), found.where("id = 6")).collect()}
     assert {r.directory_id for r in inside.collect()} == wanted
+
+
+def test_rounds_grow_with_depth_alone(spark, monkeypatch):
+    """Siblings dealt out over many partitions, few rounds for a shallow tree."""
+    rng = random.Random(4)
+    rows = [(k, None if k == 0 else 0 if k < 1500 else 7 if k < 2500 else rng.randrange(k), rng.choice([None, 1, 2])) for k in range(3000)]
+    plain, made = tree.stored, []
+    monkeypatch.setattr(tree, "stored", lambda df: made.append(df) or plain(df))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert labelled(spark, rows) == walked(rows)
+        assert len(made) < 15
+        found = tree._earlier(spark.createDataFrame([(k, 1, 0, 1) for k in range(100)], "id long, parent long, sort_order int, size long"))
+        assert {(r.id, r.before) for r in found.collect()} == {(k, k) for k in range(100)} and made[-1].select("part").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
