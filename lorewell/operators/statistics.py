@@ -3,8 +3,9 @@
 What counts for a document is kept as members of its sets, one row each: answers that
 cite it by chunk, questions it is labelled for, questions that found it in the first
 `k` ranks. A set of any size is rows, not an array. Members and results lie in buckets
-by document; a batch merges into the buckets of its documents, and their results are
-computed again from those buckets.
+by document; a batch adds its members to the buckets of its documents, and their results
+are computed again from those buckets. A member of several batches has a row of each,
+which count once; a bucket of more than `files` files is rewritten without them.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ class Statistics:
     k: int = 3
     top: int = 3
     buckets: int = 64
+    #: Files that a bucket of members may have before it is rewritten.
+    files: int = 256
 
     @property
     def members(self) -> BucketTable:
@@ -58,12 +61,13 @@ class Statistics:
         return out.where("doc_id IS NOT NULL").distinct()
 
     def update(self, spark: SparkSession, hits: DataFrame | None = None, labels: DataFrame | None = None) -> list[int]:
-        """Merges a batch; gives the buckets that were read and rewritten."""
+        """Adds a batch; gives the buckets that it adds to, whose results are computed again."""
         if hits is None and labels is None:
             return []
-        numbers = self.members.change(self.members_of(hits, labels), lambda old, new: old.unionByName(new.select(*old.columns)).distinct())
+        numbers = self.members.append(self.members_of(hits, labels))
+        self.members.compact(spark, [n for n in numbers if self.members.files(spark, n) > self.files])
         if numbers:
-            self.results.write(self.computed(self.members.read(spark, numbers)))
+            self.results.write(self.computed(self.members.read(spark, numbers)), deal=False)
         return numbers
 
     def computed(self, members: DataFrame) -> DataFrame:
@@ -71,13 +75,17 @@ class Statistics:
         keys = ["doc_id", "tenant_id", "knowledge_base_id"]
         asked = members.where("kind IN ('label', 'hit')").groupBy(*keys, "member").agg(F.bool_or(F.col("kind") == "label").alias("labeled"), F.bool_or(F.col("kind") == "hit").alias("hit"))
         recall = asked.where("labeled").groupBy(*keys).agg(F.count("*").alias("labeled"), F.count_if("hit").alias("hits"))
-        cited = members.where("kind = 'cited'")
-        counts = cited.groupBy("doc_id").agg(F.count_distinct("member").alias("cited_count"))
-        chunks = cited.where("chunk_index >= 0").groupBy("doc_id", "chunk_index").agg(F.count_distinct("member").alias("n"))
-        order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "chunk_index")
-        best = chunks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.top)
-        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_index", "n"))), lambda x: F.concat_ws(":", x["rank"], x["chunk_index"], x["n"])), ",")
-        both = counts.join(best.groupBy("doc_id").agg(listed.alias("cited_chunks")), "doc_id", "left")
+        # an answer's rows for a document in order of the chunk: one counts for its chunk if the chunk is new, one for the document
+        before = F.lag("chunk_index").over(Window.partitionBy("doc_id", "member").orderBy("chunk_index"))
+        place = F.row_number().over(Window.partitionBy("doc_id", "member").orderBy("chunk_index"))
+        cited = members.where("kind = 'cited'").select("doc_id", "chunk_index", ((place == 1) | ~F.col("chunk_index").eqNullSafe(before)).alias("other"), (place == 1).alias("first"))
+        chunks = cited.groupBy("doc_id", "chunk_index").agg(F.count_if("other").alias("n"), F.count_if("first").alias("answers"))
+        named = F.col("chunk_index") >= 0
+        order = Window.partitionBy("doc_id").orderBy(F.coalesce(named, F.lit(False)).desc(), F.desc("n"), "chunk_index")
+        best = chunks.withColumn("rank", F.row_number().over(order))
+        some = F.collect_list(F.when(named & (F.col("rank") <= self.top), F.struct("rank", "chunk_index", "n")))
+        listed = F.array_join(F.transform(F.array_sort(some), lambda x: F.concat_ws(":", x["rank"], x["chunk_index"], x["n"])), ",")
+        both = best.groupBy("doc_id").agg(F.sum("answers").alias("cited_count"), listed.alias("cited_chunks"))
         zero = F.lit(0).cast("long")
         return recall.join(both, "doc_id", "full").select(
             *keys, F.coalesce("labeled", zero).alias("labeled"), F.coalesce("hits", zero).alias("hits"), F.round(recall_ratio(F.col("labeled"), F.col("hits")), 6).alias("recall"),

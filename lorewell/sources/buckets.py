@@ -2,20 +2,22 @@
 
 A bucket is a partition of the table, by a hash of the key columns. Writes replace
 whole buckets by dynamic partition overwrite, so files of other buckets stay as they
-are. A bucket of many rows is dealt out to several files. What reaches the driver is
-the numbers of the buckets touched, at most `buckets` of them.
+are; `append` leaves the files of its own buckets too. A bucket of many rows is dealt
+out to several files. What reaches the driver is the numbers of the buckets touched,
+at most `buckets` of them.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorewell.sources.shared import exists, held, marks, release, remove
+from lorewell.sources.shared import exists, files, held, marks, release, remove
 
 
 @dataclass(frozen=True)
@@ -36,20 +38,44 @@ class BucketTable:
         """The rows, of some buckets or of all; an empty table if nothing was written yet."""
         if not exists(spark, self.path):
             return spark.createDataFrame([], self.schema)
-        rows = spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(self.path)
+        folders = [self.path]
+        if buckets is not None and len(buckets := [*buckets]) <= 32:  # more folders are listed by a job of their own
+            folders = [f for n in buckets if exists(spark, f := f"{self.path}/_bucket={n}")]
+        if not folders:
+            return spark.createDataFrame([], self.schema)
+        rows = spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])).option("basePath", self.path).parquet(*folders)
         return (rows if buckets is None else rows.where(F.col("_bucket").isin([*buckets]))).select(*self.schema.names)
 
     def touched(self, rows: DataFrame) -> list[int]:
         """The buckets that rows with the key columns fall into."""
         return sorted(r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect())
 
-    def write(self, rows: DataFrame) -> None:
-        """Replaces the buckets that the rows fall into by those rows."""
+    def write(self, rows: DataFrame, deal: bool = True) -> None:
+        """Replaces the buckets that the rows fall into by those rows, dealt out by bucket first or, for few rows, as they are."""
+        dealt = rows.select(*self.schema.names).withColumn("_bucket", self.bucket())
+        if deal:
+            # a number that is given stays: partitions are not put together again, so that a large bucket has several files
+            dealt = dealt.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_bucket", *self.keys, F.xxhash64(*self.schema.names))
+        dealt.sortWithinPartitions("_bucket", *self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+
+    def append(self, rows: DataFrame) -> list[int]:
+        """Adds rows beside those that the buckets have, as they are dealt out; gives the numbers of the buckets."""
+        seen = Observation()
         dealt = rows.select(*self.schema.names).withColumn("_bucket", self.bucket())
-        (
-            dealt.repartitionByRange("_bucket", *self.keys, F.xxhash64(*self.schema.names)).sortWithinPartitions("_bucket", *self.keys)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
-        )
+        told = dealt.observe(seen, F.to_json(F.collect_set("_bucket")).alias("buckets"))
+        told.sortWithinPartitions("_bucket").write.mode("append").partitionBy("_bucket").parquet(self.path)
+        return sorted(json.loads(seen.get["buckets"] or "[]"))
+
+    def files(self, spark: SparkSession, number: int) -> int:
+        """How many files a bucket has."""
+        return files(spark, f"{self.path}/_bucket={number}")
+
+    def compact(self, spark: SparkSession, numbers: Iterable[int]) -> None:
+        """Rewrites buckets with each of their rows once."""
+        if numbers := [*numbers]:
+            since = marks()
+            self.write(held(self.read(spark, numbers).distinct()))
+            release(since)
 
     def change(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Replaces the touched buckets by `merge(their stored rows, rows)`; gives their numbers. A bucket that is left without rows goes."""

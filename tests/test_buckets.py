@@ -112,6 +112,22 @@ def test_statistics_after_each_batch(spark, tmp_path):
     assert stats.update(spark) == [] and files(tmp_path / "members") == untouched
 
 
+def test_a_batch_leaves_the_stored_members_as_they_are(spark, tmp_path):
+    stats = Statistics(str(tmp_path), buckets=2, files=12)
+    hits = spark.createDataFrame([(0, 1, k % 9, k % 7, k % 4, f"doc{k % 5}", k % 3 - 1 or None, True) for k in range(60)], HITS)
+    labels = spark.createDataFrame([(0, 1, k, f"doc{k % 5}") for k in range(9)], LABELS)
+    stats.update(spark, hits, labels)
+    first, want = files(tmp_path / "members"), rows_of(stats.results.read(spark))
+    assert stats.update(spark, hits, labels) == sorted({bucket_of(f) for f in first})
+    assert first < files(tmp_path / "members") and rows_of(stats.results.read(spark)) == want
+    one = stats.members_of(hits, labels).count()
+    for _ in range(12):  # a bucket of many files is rewritten with each member once
+        stats.update(spark, hits, labels)
+        assert all(stats.members.files(spark, n) <= 12 for n in (0, 1))
+    assert rows_of(stats.results.read(spark)) == want and stats.members.read(spark).distinct().count() == one
+    assert rows_of(stats.computed(stats.members_of(hits, labels))) == want
+
+
 def test_touched_buckets_alone_are_scanned(spark, tmp_path):
     stats = Statistics(str(tmp_path), buckets=8)
     stats.update(spark, labels=spark.createDataFrame([(0, 1, k, f"doc{k}") for k in range(64)], LABELS))
