@@ -68,13 +68,21 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= limit else kept
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, limit: int, how: str = "left") -> DataFrame:
+def near(df: DataFrame, most: int, limit: int) -> DataFrame:
+    """The table, marked for broadcast if the `most` rows that it can have are within the limit."""
+    return F.broadcast(df) if most <= limit else df
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, limit: int, how: str = "left", most: int | None = None) -> DataFrame:
     """`rows` joined with `table`, which has one row for each key and in `n` how many rows have it.
 
-    Broadcast while the table has at most `limit` rows. Beyond, keys of many rows
-    are looked up by broadcast, of which there are at most `limit` by their share
-    of all rows, and the others by shuffle: no task gets a hot key.
+    Broadcast while the table has at most `limit` rows; it is not counted if `most`,
+    which it cannot exceed, is within. Beyond, keys of many rows are looked up by
+    broadcast, of which there are at most `limit` by their share of all rows, and
+    the others by shuffle: no task gets a hot key.
     """
+    if most is not None and most <= limit:
+        return rows.join(F.broadcast(table.drop("n")), key, how)
     kept = held(table)
     many, total = kept.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if many <= limit:

@@ -69,8 +69,8 @@ def bands_and_rows(p: JaccardParams) -> tuple[int, int]:
     return best
 
 
-def sign(documents: DataFrame, p: JaccardParams) -> DataFrame:
-    """doc_id, a key of the row, the digest of the shingle set (null: none), its size, and band hashes."""
+def sign(documents: DataFrame, p: JaccardParams, total: int) -> DataFrame:
+    """doc_id, a key of the row, the digest of the shingle set (null: none), its size, and band hashes of the `total` documents."""
     bands, rows = bands_and_rows(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,31 +93,32 @@ def sign(documents: DataFrame, p: JaccardParams) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("key"), pa.array(digest, pa.binary()), pa.array(size), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "key", "sid", "size", "bands"])
 
     rows_in = documents.select("doc_id", common.row_key().alias("key"), "text")
-    return common.write_shared(rows_in.mapInArrow(run, "doc_id long, key binary, sid binary, size long, bands array<long>"), rows=documents.count())
+    return common.write_shared(rows_in.mapInArrow(run, "doc_id long, key binary, sid binary, size long, bands array<long>"), rows=total)
 
 
-def representatives(signed: DataFrame) -> DataFrame:
+def representatives(signed: DataFrame, total: int) -> DataFrame:
     """One row for each distinct shingle set: the first row that has it and how many have it."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     found = signed.where("sid IS NOT NULL").groupBy("sid").agg(first, F.count("*").alias("weight"), F.any_value("size").alias("size"), F.any_value("bands").alias("bands"))
-    return common.write_shared(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "size", "bands"), rows=signed.count())
+    return common.write_shared(found.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "weight", "size", "bands"), rows=total)
 
 
-def members(reps: DataFrame, p: JaccardParams) -> DataFrame:
+def members(reps: DataFrame, p: JaccardParams, sets: int) -> DataFrame:
     """(sid, key, weight, own): the sets that share a bucket, each with its buckets and the blocks that these are dealt out to."""
     rows = reps.select(F.explode("bands").alias("bucket"), "sid", "size")
     same = [F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"same{k}") for k in range(2)]  # buckets with the same members
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *same).where("n > 1")
     shared = shared.groupBy("n", "total", "same0", "same1").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("n") / p.block), F.ceil(F.col("total") * 8 / p.block_bytes)).cast("int").alias("blocks")
-    chosen = common.small(shared.select("bucket", blocks), p.broadcast_rows)
+    chosen = common.write_shared(shared.select("bucket", blocks), rows=sets)
+    chosen = common.near(chosen, chosen.count(), p.broadcast_rows)
     own = rows.join(chosen, "bucket").groupBy("sid").agg(F.sort_array(F.collect_set(F.struct("bucket", "blocks"))).alias("own"))  # at most one for each band
-    return common.write_shared(own.join(reps.select("sid", "key", "weight"), "sid"), rows=reps.count())
+    return common.write_shared(own.join(reps.select("sid", "key", "weight"), "sid"), rows=sets)
 
 
 def deal(documents: DataFrame, known: DataFrame, p: JaccardParams) -> DataFrame:
     """(bucket, i, j, part, sid, weight, buckets, packed): each member's packed set for each task that it is in."""
-    rows = documents.select(common.row_key().alias("key"), "text").join(F.broadcast(known) if known.count() <= p.broadcast_rows else known, "key")
+    rows = documents.select(common.row_key().alias("key"), "text").join(known, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -233,38 +234,45 @@ def link(documents: DataFrame, known: DataFrame, p: JaccardParams) -> DataFrame:
 def classify(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_id, key, first (is this row's content the class's first), class_id, n_links for every document; written to the shared folder."""
     since = common.marks()
-    signed = sign(documents, p)
-    reps = representatives(signed)
-    known = members(reps, p)
-    stars = link(documents, known, p).groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.collect_set("root").alias("roots"))  # a root for each task at most
-    stars = common.write_shared(stars, rows=known.count())
-    roots = components(contract(stars)).withColumnRenamed("root", "top")
-    near = stars.select("sid", "links", "root").join(roots, F.col("root") == F.col("node"), "left").select("sid", "links", F.coalesce("top", "root").alias("root"))
-    near = near.join(reps.select("sid", "rep", "key"), "sid")
+    total = documents.count()
+    signed = sign(documents, p, total)
+    reps = representatives(signed, total)
+    sets = reps.count()
+    known = members(reps, p, sets)
+    many = known.count()
+    few = lambda df: common.near(df, many, p.broadcast_rows)  # noqa: E731  for tables of at most a row for each of `known`
+    stars = link(documents, few(known), p).groupBy("sid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.collect_set("root").alias("roots"))  # a root for each task at most
+    stars = common.write_shared(stars, rows=many)
+    roots = components(contract(stars), broadcast_rows=p.broadcast_rows).withColumnRenamed("root", "top")
+    near = stars.select("sid", "links", "root").join(few(roots), F.col("root") == F.col("node"), "left").select("sid", "links", F.coalesce("top", "root").alias("root"))
+    near = common.write_shared(reps.select("sid", "rep", "key").join(few(near), "sid"), rows=many)
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "key")).alias("first")
     heads = near.groupBy("root").agg(F.count("*").alias("n"), first).select("root", "n", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("head"))
-    classes = common.lookup(near.select("sid", "links", "root"), heads, "root", p.broadcast_rows).drop("root")
-    own = reps.select("sid", "rep", "key", "weight").withColumnRenamed("key", "alone").join(classes, "sid", "left").select(
+    classes = common.lookup(near.select("sid", "links", "root"), heads, "root", p.broadcast_rows, most=many).drop("root")
+    own = reps.select("sid", "rep", "key", "weight").withColumnRenamed("key", "alone").join(few(classes), "sid", "left").select(
         "sid", F.when(F.col("head").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("head", "alone").alias("head"),
         (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n"))
-    found = common.lookup(signed.select("doc_id", "key", "sid"), own, "sid", p.broadcast_rows // 2).select(
+    found = common.lookup(signed.select("doc_id", "key", "sid"), own, "sid", p.broadcast_rows // 2, most=sets).select(
         "doc_id", "key", F.coalesce(F.col("key") == F.col("head"), F.lit(True)).alias("first"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
-    out = common.write_shared(found, rows=signed.count())
+    out = common.write_shared(found, rows=total)
     common.release(since)
     return out
 
 
 def deduplicate(documents: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; all columns."""
-    found = classify(documents, p).where("n_links > 0")
-    odd = found.groupBy("key").agg(F.bool_or("first").alias("_first"), F.count("*").alias("_rows")).where("NOT _first OR _rows > 1")
-    odd = common.small(odd.select(F.col("key").alias("_odd"), "_first"), 4 * p.broadcast_rows)
+    found = classify(documents, p)
+    total = found.count()
+    odd = found.where("n_links > 0").groupBy("key").agg(F.bool_or("first").alias("_first"), F.count("*").alias("_rows")).where("NOT _first OR _rows > 1")
+    odd = common.write_shared(odd.select(F.col("key").alias("_odd"), "_first"), rows=total)
+    many, again = odd.agg(F.count("*"), F.coalesce(F.bool_or("_first"), F.lit(False))).first()
+    odd = common.near(odd, many, 4 * p.broadcast_rows)
     plain, names = common.renamed(documents)
     at = {c: n for n, c in zip(names, documents.columns)}
     keyed = plain.withColumn("_key", common.row_key(at["doc_id"], at["text"])).join(odd, F.col("_key") == F.col("_odd"), "left")
     alone = keyed.where("_odd IS NULL").select(*names)
-    if odd.where("_first").isEmpty():
+    if not again:
         return alone.toDF(*documents.columns)
     # rows that repeat their class's first one entirely
     one = keyed.where("_first").groupBy("_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")

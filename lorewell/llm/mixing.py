@@ -111,7 +111,7 @@ def plan(sizes: DataFrame, p: MixingParams) -> DataFrame:
         a = bisected(n, summed, p)
         whole = table.agg(F.sum(F.pow(share, F.lit(a)))).first()[0]
         return table.select("_source", "_tokens", (F.pow(share, F.lit(a)) / whole * p.budget * total).alias("_take"), F.ceil(F.col("_tokens") / p.block_tokens).alias("_blocks"))
-    found = table.orderBy("_source").collect()  # at most max_sources
+    found = sorted(table.collect(), key=lambda r: r._source)  # at most max_sources
     tokens = [r._tokens for r in found]
 
     w = weights(tokens, exponent(tokens, p)) if found else []
@@ -141,6 +141,8 @@ def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[s
         return df.join(quota, "_source").withColumn("_block", F.pmod("_hash", F.col("_blocks")))
 
     blocks = placed(slim).groupBy("_source", "_block").agg(F.sum("_size").alias("_has"), F.first("_take").alias("_take"), F.first("_tokens").alias("_tokens"))
+    many = quota.agg(F.coalesce(F.sum("_blocks"), F.lit(0))).first()[0]
+    blocks = common.write_shared(blocks, rows=many)  # short rows in few files: what follows is planned without the tables behind them
     whole = F.floor(F.col("_take") / F.col("_tokens")).cast("int")
     epochs = blocks.withColumn("_whole", whole).withColumn("_epoch", F.explode(F.sequence(F.lit(0), "_whole")))
     epochs = epochs.withColumn("_order", F.pmod(F.xxhash64(F.lit(p.seed), "_source", "_epoch", "_block"), F.lit(_RANGE))).withColumn("_slice", F.floor(F.col("_order") * _SLICES / _RANGE).cast("int"))
@@ -150,13 +152,14 @@ def mix(documents: DataFrame, p: MixingParams = MixingParams(), columns: tuple[s
     before = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_source", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_source", "_slice").orderBy("_order", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    partial = epochs.where(last).join(starts, ["_source", "_slice"]).withColumn("_room", left - F.col("_start") - F.coalesce(F.sum("_has").over(inside), F.lit(0)))
+    partial = epochs.where(last).join(common.near(starts, many, p.broadcast_rows), ["_source", "_slice"]).withColumn("_room", left - F.col("_start") - F.coalesce(F.sum("_has").over(inside), F.lit(0)))
     repeats = F.col("_take") / F.col("_tokens")
     key = ((F.col("_epoch") + F.col("_order") / _RANGE) / F.greatest(repeats, F.lit(1e-9))).alias("_mix")
     taken = epochs.where(~last).withColumn("_room", F.col("_has").cast("double")).select("_source", "_block", "_epoch", "_room", "_has", key)
-    taken = common.held(taken.union(partial.where("_room > 0").select("_source", "_block", "_epoch", "_room", "_has", key)))
-    full = common.small(taken.where("_room >= _has").drop("_room", "_has"), p.broadcast_rows)
-    cut = common.small(taken.where("_room < _has").drop("_has"), p.broadcast_rows)  # at most one block of each source
+    taken = common.write_shared(taken.union(partial.where("_room > 0").select("_source", "_block", "_epoch", "_room", "_has", key)), rows=many)
+    n_full, n_cut = taken.agg(F.count_if(F.expr("_room >= _has")), F.count_if(F.expr("_room < _has"))).first()
+    full = common.near(taken.where("_room >= _has").drop("_room", "_has"), n_full, p.broadcast_rows)
+    cut = common.near(taken.where("_room < _has").drop("_has"), n_cut, p.broadcast_rows)  # at most one block of each source
 
     wanted = [*(at[c] for c in columns), "_epoch", "_block", "_size", "_mix"]
     rows = placed(slim if "text" not in columns else dealt)
